@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, url_rules
+from . import decontaminate, near_dedup, packing, pii, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,4 +24,30 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_table(spark, sf_dir, "pages"), url_rules.rule_table(spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op2_url_filters": op2_url_filters}
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    count = [F.size(F.filter("base", lambda s: s["rank"] == 0)), F.size(F.filter("base", lambda s: s["rank"] == 1)), F.size(F.filter("base", lambda s: s["rank"] == 2)), F.size(F.filter("base", lambda s: s["rank"] == 3))]
+    return found.select("doc_id", *[n.cast("long").alias(f"n_{k}") for n, k in zip(count, pii.KINDS, strict=False)], F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "class_id", "kept")
+
+
+def tokenizer_files() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), *tokenizer_files(), with_ids=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_url_filters": op2_url_filters,
+    "op3_pii": op3_pii,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op7_packing": op7_packing,
+}
