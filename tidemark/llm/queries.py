@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, packing, pii, url_rules
+from . import decontaminate, near_dedup, packing, pii, quality, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "class_id", "kept")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.select(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_grams", "log_weight", "selected")
+
+
 def tokenizer_files() -> tuple[str, str]:
     import public_tokenizers
 
@@ -49,5 +54,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_pii": op3_pii,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_packing": op7_packing,
 }
