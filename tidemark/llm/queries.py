@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, packing, pii, quality, substring_dedup, url_rules
+from . import decontaminate, embedding_dedup, licenses, near_dedup, packing, pii, quality, sharding, substring_dedup, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +53,21 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    shown = F.transform("licenses", lambda m: F.concat_ws(":", m["license"], m["first_word"].cast("string"), m["last_word"].cast("string"), m["matched"].cast("string")))
+    return found.select("doc_id", "n_words", F.size("licenses").cast("long").alias("n_matches"), F.array_join(shown, ",").alias("matches"))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_decontamination": op1_decontamination,
-    "op2_url_filters": op2_url_filters,
-    "op3_pii": op3_pii,
-    "op5_minhash_near_dedup": op5_minhash_near_dedup,
-    "op6_quality_classifier": op6_quality_classifier,
-    "op7_packing": op7_packing,
-    "op8_substring_dedup": op8_substring_dedup,
+    f.__name__: f
+    for f in (op1_decontamination, op2_url_filters, op3_pii, op4_license_scan, op5_minhash_near_dedup, op6_quality_classifier, op7_packing, op8_substring_dedup, op9_embedding_near_dedup, op10_sharding)
 }
