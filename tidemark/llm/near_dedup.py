@@ -3,9 +3,10 @@
 A sketch keeps, for each of some hash functions, the least few occurrence-labelled 5-word shingles in their
 text order. Documents that agree on one sketch are candidates. Two documents link if the longest common
 subsequence of their shingles, aligned within the band that the threshold allows, gives a similarity of
-common / (shingles of both - common) of 0.8 or more. Equal word sequences are one class from the start; within
-a bucket of equal sketches, classes are compared with one centre after another, and those that have met are
-not compared again, so a large group of copies costs in proportion to its size.
+common / (shingles of both - common) of 0.8 or more. Equal word sequences are one class from the start. Within
+a bucket of equal sketches all classes are first compared with one centre, which links most copies at a cost in
+proportion to their number. Only pairs over the components that this leaves meet afterwards, in blocks of bounded
+size, where plain MinHash signatures rule out most before any text moves.
 """
 
 from __future__ import annotations
@@ -28,8 +29,14 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: of two, those of at least SIMILARITY * SHORT have sketches of six: any linked pair shares a sort. Of pairs
 #: at the threshold a share of about (1 - 0.8 ** 6) ** 30 = 0.0001 shares no sketch.
 SKETCHES, KEPT, KEPT_SHORT, SHORT = 30, 6, 2, 80
-#: The buckets' remaining pairs are compared at once when there are at most so many times the documents.
-PAIRS_A_DOC = 4
+#: Plain MinHash values that tell candidates of crowded buckets apart; a pair at the threshold falls short of
+#: LEAST_AGREEING of them with a chance of 0.00003.
+SIGNATURE = 256
+LEAST_AGREEING = int(SIGNATURE * SIMILARITY - 4 * (SIGNATURE * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
+#: Documents of a bucket that meet in one task.
+BLOCK = 512
+#: Words of texts whose shingles a worker keeps for the next pairs.
+KEPT_WORDS = 2_000_000
 
 SKETCHED = "doc_id long, row_key long, n_words long, shingles long, digest binary, sketches array<long>"
 
@@ -39,17 +46,33 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return rolled(words, min(SHINGLE, len(words))) if len(words) else words
 
 
-def sketch(x: np.ndarray) -> np.ndarray:
-    """The Order MinHash sketches of a shingle sequence; one shingle has none, as only equals link."""
+def labelled(x: np.ndarray) -> np.ndarray:
+    """The shingles, each but the first of equal ones told apart by its occurrence."""
     n = len(x)
-    if n < 2:
-        return np.zeros(0, np.uint64)
     order = np.argsort(x, kind="stable")
     runs = np.flatnonzero(np.diff(x[order], prepend=~x[order[:1]]) != 0)
     if len(runs) < n:
         nth = np.empty(n, np.uint64)
         nth[order] = np.arange(n) - np.repeat(runs, np.diff(np.append(runs, n)))
         x = np.where(nth > 0, mix(x + nth), x)
+    return x
+
+
+def signature(x: np.ndarray) -> bytes:
+    """The low 16 bits of the least labelled shingle under each of SIGNATURE hash functions."""
+    x = labelled(x)
+    seeds = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) << np.uint64(20))
+    step = max(1, (1 << 20) // max(1, len(x)))
+    least = [mix(x[None, :] ^ part[:, None]).min(axis=1) for part in np.split(seeds, range(step, SIGNATURE, step))]
+    return np.concatenate(least).astype("<u2").tobytes()
+
+
+def sketch(x: np.ndarray) -> np.ndarray:
+    """The Order MinHash sketches of a shingle sequence; one shingle has none, as only equals link."""
+    n = len(x)
+    if n < 2:
+        return np.zeros(0, np.uint64)
+    x = labelled(x)
     out = []
     for kept in [KEPT_SHORT] * (n < SHORT) + [KEPT] * (n >= SIMILARITY * SHORT):
         seeds = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(kept))
@@ -127,15 +150,25 @@ def _dense(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return int(best[-1])
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
+class Shingled:
+    """A document's shingles, and the distinct ones in order."""
+
+    def __init__(self, text: str):
+        words = folded_words(text)
+        self.all = shingles(WordBlock([words]).hashes())
+        self.distinct = np.unique(self.all)
+
+
+def similarity(a: Shingled, b: Shingled, least: float = SIMILARITY) -> float:
     """common / (shingles of both - common) by banded alignment; 0 where it can't reach `least`."""
-    total = len(a) + len(b)
+    total = len(a.all) + len(b.all)
     need = least * total / (1 + least) - 1e-9
-    if min(len(a), len(b)) < need:
+    if min(len(a.all), len(b.all)) < need:
         return 0.0
-    if len(np.intersect1d(a, b)) < need - (total - len(np.unique(a)) - len(np.unique(b))):
+    at = np.minimum(np.searchsorted(b.distinct, a.distinct), len(b.distinct) - 1)
+    if int((b.distinct[at] == a.distinct).sum()) < need - (total - len(a.distinct) - len(b.distinct)):
         return 0.0
-    common = aligned(a, b, int(total * (1 - least) / (1 + least)) + 1)
+    common = aligned(a.all, b.all, int(total * (1 - least) / (1 + least)) + 1)
     return common / (total - common) if common >= need else 0.0
 
 
@@ -144,19 +177,60 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, Shingled] = {}
+        words = 0
         for batch in batches:
             links: list[tuple] = []
-            for i in range(batch.num_rows):
-                a, b, text_a, text_b = (batch.column(c)[i].as_py() for c in ("a", "b", "text_a", "text_b"))
-                block = WordBlock([folded_words(text_a), folded_words(text_b)])
-                x = block.hashes()
-                if similarity(shingles(x[: block.starts[1]]), shingles(x[block.starts[1] :])):
-                    links.append((a, b))
+            digests = [batch.column(c).to_pylist() for c in ("a", "b")]
+            for i, pair in enumerate(zip(*digests, strict=True)):
+                for digest, column in zip(pair, ("text_a", "text_b"), strict=True):
+                    if digest not in known:
+                        known[digest] = x = Shingled(batch.column(column)[i].as_py())
+                        words += len(x.all)
+                if similarity(known[pair[0]], known[pair[1]]):
+                    links.append(pair)
+                if words > KEPT_WORDS:
+                    known, words = {}, 0
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def _signed(texts: DataFrame) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [signature(Shingled(x).all) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(own, pa.binary())], names=["digest", "signature"])
+
+    return texts.mapInArrow(run, "digest binary, signature binary")
+
+
+def _crossing(table: pa.Table) -> pa.Table:
+    """Pairs of two blocks of a bucket that lie in different components and agree in their signatures."""
+    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    digest, own, component = (table.column(c).to_pylist() for c in ("digest", "own", "component"))
+    own, size = np.array(own), np.array(table.column("shingles").to_pylist())
+    code = np.unique(np.array([x.hex() for x in component]), return_inverse=True)[1]
+    signs = np.stack([np.frombuffer(x, "<u2") for x in table.column("signature").to_pylist()])
+    found: list[tuple] = []
+    right = np.flatnonzero(own == hi)
+    for i in np.flatnonzero(own == lo).tolist():
+        j = right[right > i] if lo == hi else right
+        j = j[(code[j] != code[i]) & (size[j] >= SIMILARITY * size[i]) & (size[i] >= SIMILARITY * size[j])]
+        j = j[(signs[j] == signs[i]).sum(axis=1) >= LEAST_AGREEING] if len(j) else j
+        found += [(min(digest[i], digest[x]), max(digest[i], digest[x])) for x in j.tolist()]
+    return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([x for _, x in found], pa.binary())})
+
+
+def _rest(members: DataFrame, signed: DataFrame) -> DataFrame:
+    """Candidate pairs of each bucket over its components, from blocks that meet two by two."""
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(signed, "digest")
+    meets = meets.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    return meets.select("bucket", "lo", "hi", "own", "digest", "component", "shingles", "signature").groupBy("bucket", "lo", "hi").applyInArrow(_crossing, "a binary, b binary").distinct()
+
+
 def _stars(members: DataFrame) -> DataFrame:
     """(bucket, centre) of each bucket, and its pairs with the members of other components near its size."""
     centre = members.groupBy("bucket").agg(F.min(F.struct("digest", "component", "shingles")).alias("c"))
@@ -180,34 +254,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     wanted = members.select("digest").distinct().join(first.select("digest", F.col("least.row_key").alias("row_key")), "digest")
     texts = save(rows.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["digest"]).select("digest", "text"), "texts")
     members = members.withColumn("component", F.col("digest"))
-    links, met, limit = None, None, PAIRS_A_DOC * max(1, first.count())
-    while not members.isEmpty():
-        sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("q"))
-        left = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
-        final = links is not None and left <= limit
-        if final:
-            other = members.select("bucket", F.col("digest").alias("b"), F.col("component").alias("c"), F.col("shingles").alias("s"))
-            near = (F.col("shingles") >= SIMILARITY * F.col("s")) & (F.col("s") >= SIMILARITY * F.col("shingles"))
-            pairs = members.join(other, "bucket").where((F.col("digest") < F.col("b")) & (F.col("component") != F.col("c")) & near).select(F.col("digest").alias("a"), "b").distinct()
-        else:
-            pairs = _stars(members)
-        if met is not None:
-            pairs = pairs.join(met, ["a", "b"], "left_anti")
-        pairs = save(pairs, "pairs")
-        met = pairs if met is None else save(met.unionByName(pairs), "met")
-        found = _verified(pairs, texts)
-        links = save(found if links is None else links.unionByName(found), "links")
-        if final:
-            break
-        groups = components(links)
-        centre = members.groupBy("bucket").agg(F.min("digest").alias("centre"))
-        rest = members.drop("component").join(groups.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-        rest = rest.join(centre, "bucket").where("digest != centre").drop("centre")
-        mixed = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-        members = save(rest.join(mixed, "bucket"), "buckets")
-    groups = components(links).withColumnRenamed("node", "digest") if links is not None else None
+    stars = save(_stars(members), "stars")
+    links = save(_verified(stars, texts), "links")
+    known = components(links).withColumnRenamed("node", "digest")
+    members = members.drop("component").join(known, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    mixed = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi and n > 2").select("bucket")
+    members = save(members.join(mixed, "bucket"), "crowded")
+    if not members.isEmpty():
+        rest = save(_rest(members, _signed(texts)).join(stars, ["a", "b"], "left_anti"), "rest")
+        links = save(links.unionByName(_verified(rest, texts)), "links")
+    groups = components(links).withColumnRenamed("node", "digest")
     first = first.select("digest", "least")
-    named = first.join(groups, "digest", "left").withColumn("component", F.coalesce("component", "digest")) if groups is not None else first.withColumn("component", F.col("digest"))
+    named = first.join(groups, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     least = named.groupBy("component").agg(F.min("least").alias("top"))
     of = named.join(least, "component").select("digest", "top")
     out = all_rows.join(of, "digest", "left")
