@@ -33,8 +33,8 @@ SKETCHES, KEPT, KEPT_SHORT, SHORT = 30, 6, 2, 80
 #: LEAST_AGREEING of them with a chance of 0.00003.
 SIGNATURE = 256
 LEAST_AGREEING = int(SIGNATURE * SIMILARITY - 4 * (SIGNATURE * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
-#: Documents of a bucket that meet in one task.
-BLOCK = 512
+#: Documents of a bucket, and bytes of their shingles, that meet in one task, at most twice.
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
 #: Words of texts whose shingles a worker keeps for the next pairs.
 KEPT_WORDS = 2_000_000
 
@@ -153,10 +153,12 @@ def _dense(a: np.ndarray, b: np.ndarray, band: int) -> int:
 class Shingled:
     """A document's shingles, and the distinct ones in order."""
 
-    def __init__(self, text: str):
-        words = folded_words(text)
-        self.all = shingles(WordBlock([words]).hashes())
-        self.distinct = np.unique(self.all)
+    def __init__(self, own: np.ndarray):
+        self.all, self.distinct = own, np.unique(own)
+
+
+def _shingled(text: str) -> np.ndarray:
+    return shingles(WordBlock([folded_words(text)]).hashes())
 
 
 def similarity(a: Shingled, b: Shingled, least: float = SIMILARITY) -> float:
@@ -185,7 +187,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for i, pair in enumerate(zip(*digests, strict=True)):
                 for digest, column in zip(pair, ("text_a", "text_b"), strict=True):
                     if digest not in known:
-                        known[digest] = x = Shingled(batch.column(column)[i].as_py())
+                        known[digest] = x = Shingled(_shingled(batch.column(column)[i].as_py()))
                         words += len(x.all)
                 if similarity(known[pair[0]], known[pair[1]]):
                     links.append(pair)
@@ -197,38 +199,75 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _signed(texts: DataFrame) -> DataFrame:
+    """By digest: the signature, the sketches (short ones, then long ones, 0 where there are none), the shingles."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [signature(Shingled(x).all) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(own, pa.binary())], names=["digest", "signature"])
+            own = [_shingled(x) for x in batch.column("text").to_pylist()]
+            placed = []
+            for x in own:
+                row = np.zeros(2 * SKETCHES, np.uint64)
+                got = sketch(x)
+                row[0 if len(x) < SHORT else SKETCHES :][: len(got)] = got
+                placed.append(row.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), *(pa.array(c, pa.binary()) for c in ([signature(x) for x in own], placed, [x.tobytes() for x in own]))], names=["digest", "signature", "sketches", "sequence"])
 
-    return texts.mapInArrow(run, "digest binary, signature binary")
+    return texts.mapInArrow(run, "digest binary, signature binary, sketches binary, sequence binary")
 
 
 def _crossing(table: pa.Table) -> pa.Table:
-    """Pairs of two blocks of a bucket that lie in different components and agree in their signatures."""
-    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-    digest, own, component = (table.column(c).to_pylist() for c in ("digest", "own", "component"))
+    """Links between two blocks of a bucket over the components known so far. Pairs that an earlier sketch brings
+    together elsewhere, and those whose signatures are too far apart, are passed over; the others are aligned, the
+    likeliest first, unless links found here join them already. So the links are a forest: fewer than documents."""
+    bucket, lo, hi = (table.column(c)[0].as_py() for c in ("bucket", "lo", "hi"))
+    digest, own, component, sequence = (table.column(c).to_pylist() for c in ("digest", "own", "component", "sequence"))
     own, size = np.array(own), np.array(table.column("shingles").to_pylist())
     code = np.unique(np.array([x.hex() for x in component]), return_inverse=True)[1]
     signs = np.stack([np.frombuffer(x, "<u2") for x in table.column("signature").to_pylist()])
-    found: list[tuple] = []
+    sketches = np.stack([np.frombuffer(x, np.int64) for x in table.column("sketches").to_pylist()])
+    here = sketches == bucket
+    at = here.argmax(axis=1)
     right = np.flatnonzero(own == hi)
+    near: list[tuple] = []
     for i in np.flatnonzero(own == lo).tolist():
         j = right[right > i] if lo == hi else right
         j = j[(code[j] != code[i]) & (size[j] >= SIMILARITY * size[i]) & (size[i] >= SIMILARITY * size[j])]
-        j = j[(signs[j] == signs[i]).sum(axis=1) >= LEAST_AGREEING] if len(j) else j
-        found += [(min(digest[i], digest[x]), max(digest[i], digest[x])) for x in j.tolist()]
+        if len(j):
+            j = j[~((sketches[j, : at[i]] == sketches[i, : at[i]]) & (sketches[i, : at[i]] != 0)).any(axis=1)]
+        if len(j):
+            agree = (signs[j] == signs[i]).sum(axis=1)
+            near += [(-n, i, x) for n, x in zip(agree.tolist(), j.tolist(), strict=True) if n >= LEAST_AGREEING]
+    parent = list(range(len(digest)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found, known = [], {}
+    for _, i, j in sorted(near):
+        a, b = root(code[i]), root(code[j])
+        if a == b:
+            continue
+        for x in (i, j):
+            if x not in known:
+                known[x] = Shingled(np.frombuffer(sequence[x], np.uint64))
+        if similarity(known[i], known[j]):
+            parent[a] = b
+            found.append((min(digest[i], digest[j]), max(digest[i], digest[j])))
     return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([x for _, x in found], pa.binary())})
 
 
 def _rest(members: DataFrame, signed: DataFrame) -> DataFrame:
-    """Candidate pairs of each bucket over its components, from blocks that meet two by two."""
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    """Links over the components in each bucket, from blocks that meet two by two."""
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("shingles") * 8 / BLOCK_BYTES)).cast("int")
+    sizes = members.groupBy("bucket").agg(blocks.alias("blocks"))
     placed = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(signed, "digest")
     meets = meets.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    return meets.select("bucket", "lo", "hi", "own", "digest", "component", "shingles", "signature").groupBy("bucket", "lo", "hi").applyInArrow(_crossing, "a binary, b binary").distinct()
+    columns = ["bucket", "lo", "hi", "own", "digest", "component", "shingles", "signature", "sketches", "sequence"]
+    return meets.select(*columns).groupBy("bucket", "lo", "hi").applyInArrow(_crossing, "a binary, b binary")
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -261,8 +300,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     mixed = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi and n > 2").select("bucket")
     members = save(members.join(mixed, "bucket"), "crowded")
     if not members.isEmpty():
-        rest = save(_rest(members, _signed(texts)).join(stars, ["a", "b"], "left_anti"), "rest")
-        links = save(links.unionByName(_verified(rest, texts)), "links")
+        crowd = texts.join(members.select("digest").distinct(), "digest", "left_semi")
+        rest = save(_rest(members, save(_signed(crowd), "signatures")), "rest")
+        links = save(links.unionByName(rest), "links")
     groups = components(links).withColumnRenamed("node", "digest")
     first = first.select("digest", "least")
     named = first.join(groups, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
