@@ -36,7 +36,7 @@ def _point(x, default: str | None) -> dict:
     if not isinstance(fields, dict) or not fields:
         raise ValueError("fields are missing")
     tags, ts = x.get("tags") or {}, x.get("timestamp")
-    if not isinstance(tags, dict) or ts is not None and (isinstance(ts, bool) or not isinstance(ts, int)):
+    if not isinstance(tags, dict) or ts is not None and (isinstance(ts, bool) or not isinstance(ts, int) or not -(1 << 63) <= ts < 1 << 63):
         raise ValueError("bad tags or timestamp")
     text = {str(k): v if isinstance(v, str) else json.dumps(v) for k, v in tags.items()}
     return {"measurement": name, "tags": text, "fields": {k: _field(v) for k, v in fields.items() if v is not None}, "ts_ns": ts, "error": None}

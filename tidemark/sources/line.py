@@ -91,7 +91,10 @@ def parse(text: str) -> dict | None:
     name, *tags = split(head, ",")
     if not name:
         raise ValueError("measurement is missing")
-    return {"measurement": unescape(name, ", \\"), "tags": _pairs(tags, "tag", lambda v: unescape(v, ",= \\")), "fields": _pairs(split(rest[0], ",", quotes=True), "field", value), "ts_ns": int(rest[1]) if len(rest) == 2 else None, "error": None}
+    ts = int(rest[1]) if len(rest) == 2 and "_" not in rest[1] else None
+    if len(rest) == 2 and (ts is None or not -(1 << 63) <= ts < 1 << 63):
+        raise ValueError("bad time")
+    return {"measurement": unescape(name, ", \\"), "tags": _pairs(tags, "tag", lambda v: unescape(v, ",= \\")), "fields": _pairs(split(rest[0], ",", quotes=True), "field", value), "ts_ns": ts, "error": None}
 
 
 def rows(lines: DataFrame, column: str = "value", seq: str | None = None, parse=parse) -> DataFrame:
