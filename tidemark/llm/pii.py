@@ -184,7 +184,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind, as <EMAIL>; overlapping spans become the first
     of them. n_chars, if there, is counted anew. Null stays null."""
     names = docs.columns
-    rows = _with_spans(docs.select(F.col("doc_id"), F.col(text_col), F.struct(*[docs[c] for c in names]).alias("__all")), text_col)
+    rows = _with_spans(docs.select(F.col("doc_id"), F.col(text_col), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__all")), text_col)
     text = F.col(text_col)
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))

@@ -77,7 +77,7 @@ def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, id_col: s
     """Write docs, all columns, as Parquet under path, a folder `shard_bits=s<bits>` for each shard; returns the
     directory: shard, depth, n_docs, n_bytes. A task gets whole shards, which the limit bounds."""
     h1, h2 = _hashes(id_col, text_col)
-    row = F.struct(*[docs[c] for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     n_bytes = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
     placed = _placed(save(docs.select(row.alias("__row"), n_bytes.alias("n_bytes"), h1.alias("__h1"), h2.alias("__h2")), "hashed"), limit)
     named = placed.select("__row.*", F.concat(F.lit("s"), "shard").alias("__shard"))
