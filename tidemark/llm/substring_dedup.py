@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import bounded_batches, partitions, save
-from .words import WordBlock, blocks, mix, plain_words, rolled
+from .words import WordBlock, blocks, mix, plain_words
 
 WINDOW = 13
 SEGMENT_CHARS = 3 << 20
@@ -116,7 +116,7 @@ class Parsed:
                 break
             level.runs(2 * r)
             level.pairs(2 * r + 1)
-            whole = len(level.doc) == len(np.unique(level.doc))
+            whole = not (level.doc[1:] == level.doc[:-1]).any()
             if r == LOW:
                 self.low = (level.name, level.left, level.right, level.doc)
             if r in HIGH or whole or r == MOST_ROUNDS:
@@ -143,24 +143,27 @@ class Parsed:
 
 
 class Sending:
-    """The distinct keys of some occurrences in the order that they are sent: by bucket, then by key. For each,
+    """The distinct keys of some occurrences in the order that they are sent: by name. For each,
     the least id of the documents that hold it here."""
 
     def __init__(self, name: np.ndarray, check: np.ndarray, docs: np.ndarray, buckets: int):
-        bucket = (mix(name) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((docs, check, name, bucket))
+        order = np.argsort(name)
         n, c = name[order], check[order]
         head = np.ones(len(order), bool)
         head[1:] = (n[1:] != n[:-1]) | (c[1:] != c[:-1])
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(head) - 1
-        self.name, self.check, self.bucket, self.least = n[head], c[head], bucket[order][head], docs[order][head]
-        last = np.append(np.flatnonzero(head)[1:], len(order)) - 1 if len(order) else np.zeros(0, np.int64)
-        self.several = docs[order][last] != self.least
-        self.cuts = np.flatnonzero(np.diff(self.bucket, prepend=-1))
+        self.name, self.check = n[head], c[head]
+        # Buckets are ranges of names, which are hashes: the order by name is that by bucket.
+        self.bucket = ((self.name >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        first = np.flatnonzero(head)
+        self.least = np.minimum.reduceat(docs[order], first) if len(first) else docs
+        self.several = np.maximum.reduceat(docs[order], first) != self.least if len(first) else head
+        cuts = [*np.flatnonzero(np.diff(self.bucket, prepend=-1)).tolist(), len(self.bucket)]
+        self.parts = list(zip(cuts[:-1], cuts[1:], strict=True))
 
     def rows(self, segment: int, kind: int) -> Iterator[tuple]:
-        for a, b in zip(self.cuts.tolist(), [*self.cuts[1:].tolist(), len(self.bucket)], strict=True):
+        for a, b in self.parts:
             if kind == LOW_KIND:  # 47 bits of the name and whether several documents hold it: a filter only
                 word = (self.name[a:b] >> np.uint64(17) << np.uint64(1)) | self.several[a:b].astype(np.uint64)
                 keys, docs = word.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), b""
@@ -172,7 +175,7 @@ class Sending:
     def answers(self, rows: list[dict], kind: int) -> np.ndarray:
         """The bits that came back, by key."""
         bits = {r["bucket"]: r["bits"] for r in rows if r["kind"] == kind}
-        parts = [np.unpackbits(np.frombuffer(bits[int(self.bucket[a])], np.uint8), count=b - a) for a, b in zip(self.cuts.tolist(), [*self.cuts[1:].tolist(), len(self.bucket)], strict=True)]
+        parts = [np.unpackbits(np.frombuffer(bits[int(self.bucket[a])], np.uint8), count=b - a) for a, b in self.parts]
         return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
 
 
@@ -197,9 +200,22 @@ def _open_windows(p: Parsed, buckets: int, answers: list[dict]) -> tuple[np.ndar
     return np.flatnonzero(settled), np.flatnonzero(p.opens & ~settled & ~ruled_out)
 
 
+def _windows(h: np.ndarray) -> np.ndarray:
+    """The hash of the 13 words from each position on: of eight, four and one, each of two halves."""
+    n = len(h) - WINDOW + 1
+
+    def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b))
+
+    two = both(h[:-1], h[1:])
+    four = both(two[:-2], two[2:])
+    eight = both(four[:-4], four[4:])
+    return both(both(eight[:n], four[8 : 8 + n]), h[12 : 12 + n])
+
+
 def _window_sending(p: Parsed, at: np.ndarray, buckets: int) -> Sending:
-    name, check = rolled(p.block.hashes(0), WINDOW), rolled(p.block.hashes(1), WINDOW)
-    return Sending(name[at], check[at], p.doc_ids[p.block.owner[at]], buckets)
+    name, check = (_windows(p.block.hashes(seed))[at] if len(at) else np.zeros(0, np.uint64) for seed in (0, 1))
+    return Sending(name, check, p.doc_ids[p.block.owner[at]], buckets)
 
 
 def _answered(table: pa.Table) -> pa.Table:
@@ -224,11 +240,11 @@ def _answered(table: pa.Table) -> pa.Table:
             keys = [np.frombuffer(r["keys"], np.uint64).reshape(-1, 2) for r in some]
             sizes = [len(x) for x in keys]
             both, docs = np.concatenate(keys), np.concatenate([np.frombuffer(r["docs"], np.int64) for r in some])
-            order = np.lexsort((docs, both[:, 1], both[:, 0]))
+            order = np.lexsort((both[:, 1], both[:, 0]))
             x = both[order]
             head = np.ones(len(order), bool)
             head[1:] = (x[1:] != x[:-1]).any(axis=1)
-            least = docs[order][head][np.cumsum(head) - 1]
+            least = np.minimum.reduceat(docs[order], np.flatnonzero(head))[np.cumsum(head) - 1]
             flag = np.empty(len(order), bool)
             flag[order] = least < docs[order]
         for r, part in zip(some, np.split(flag, np.cumsum(sizes)[:-1]), strict=True):
