@@ -504,6 +504,70 @@ def stream_changes(spark, d):
     return rows.select("series_key", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("value", 6).alias("value"), "sequence")
 
 
+@query("SELECT event_type AS metric, count(*) AS n, round(sum(value), 6) AS total, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY 1")
+def protobuf_points(spark, d):
+    from .sources import parsed, protobuf
+
+    @F.pandas_udf("binary")
+    def payload(name, user, ns, value):
+        import pandas as pd
+
+        return pd.Series([protobuf.encode([(n, {"user": u}, [(t, v)])]) for n, u, t, v in zip(name, user, ns, value, strict=True)], index=name.index, dtype=object)
+
+    e = spark.read.parquet(f"{d}/events.parquet")
+    raw = e.select(payload(F.col("event_type"), F.col("user_id").cast("string"), micros(F.col("ts")) * 1000, F.col("value")).alias("value"), "event_id")
+    return _summary(parsed.explode(protobuf.rows(raw, seq="event_id"), NOW_MS * 1_000_000))
+
+
+_register("protocols", lambda spark, d: _protocols(spark, d), "SELECT p AS protocol, count(*) AS n FROM (SELECT unnest(['json', 'line']) AS p, event_id FROM events) GROUP BY 1")
+
+
+def _protocols(spark: SparkSession, d: str) -> DataFrame:
+    from .sources import detect
+
+    e = spark.read.parquet(f"{d}/events.parquet")
+    both = e.select(F.concat(F.lit("  "), F.to_json(F.struct("event_id", "value"))).alias("raw")).unionByName(e.select(F.concat("event_type", F.lit(" v="), F.col("value").cast("string")).alias("raw")))
+    return both.groupBy(detect.protocol(F.col("raw")).alias("protocol")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_register("builder_query", lambda spark, d: rounded(Engine(events(spark, d), NOW_MS).run(QueryBuilder("view").range(LO_MS, HI_MS).tag("user", ("1", "2", "3"), "in").value("<", 100).aggregate("avg").aggregate("percentile", 90.0, "p90").group_by("user").build())), f"SELECT user_id::varchar AS \"user\", round(avg(value), 6) AS avg, round(quantile_cont(value, 0.9), 6) AS p90 FROM events WHERE event_type = 'view' AND {IN_SPAN} AND user_id IN (1, 2, 3) AND value < 100 GROUP BY 1")
+_register("count_where", lambda spark, d: events(spark, d).groupBy("metric").agg(F.count_if(F.col("value") > 100).alias("above"), F.count_if(F.col("value") < 5).alias("below")), "SELECT event_type AS metric, count(*) FILTER (WHERE value > 100) AS above, count(*) FILTER (WHERE value < 5) AS below FROM events GROUP BY 1")
+_register("engine_stats", lambda spark, d: Engine(events(spark, d), NOW_MS).stats(), "SELECT event_type AS metric, count(DISTINCT user_id) AS series, count(*) AS points, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1")
+_register("aligned_values", lambda spark, d: rounded(grouping.aligned(events(spark, d)).select("ts", F.size("values").cast("long").alias("n"), F.aggregate(F.map_values("values"), F.lit(0.0), lambda acc, v: acc + v).alias("total"))), "SELECT ts, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1")
+_register("casts", lambda spark, d: events(spark, d).select("seq", scalars.as_long(F.col("value")).alias("whole")).where("whole is not null"), "SELECT event_id AS seq, value::BIGINT AS whole FROM events WHERE value = floor(value)")
+_register("text_functions", lambda spark, d: spark.read.parquet(f"{d}/part.parquet").select("p_partkey", scalars.sanitize(F.col("p_type"), 6).alias("cut"), scalars.sanitize_identifier(F.col("p_brand")).alias("name"), scalars.sanitize_key(F.col("p_brand")).alias("key"), scalars.escape_tag(F.concat("p_brand", F.lit(" a,b=c"))).alias("escaped"), scalars.unescape(scalars.escape_tag(F.concat("p_brand", F.lit(" a,b=c")))).alias("back")), r"SELECT p_partkey, left(trim(p_type), 6) AS cut, CASE WHEN regexp_matches(p_brand, '^[A-Za-z_]') THEN '' ELSE '_' END || regexp_replace(p_brand, '[^A-Za-z0-9_]', '_', 'g') AS name, regexp_replace(p_brand, '[^A-Za-z0-9_.:\-]', '_', 'g') AS key, regexp_replace(p_brand || ' a,b=c', '([\\,= ])', '\\\1', 'g') AS escaped, p_brand || ' a,b=c' AS back FROM part")
+
+
+@query("SELECT count(DISTINCT event_type || ts::DATE::VARCHAR)::BIGINT AS files, count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM events")
+def file_stats(spark, d):
+    from .sources import files
+
+    folder = _folder(spark)
+    files.write(events(spark, d), folder)
+    return maintenance.file_stats(spark, folder).agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("n"), F.min("min_ts").alias("lo"), F.max("max_ts").alias("hi"))
+
+
+@query("SELECT event_type AS metric, ts::DATE::VARCHAR AS day FROM events WHERE ts < timestamp '2024-01-11' GROUP BY 1, 2")
+def retention_days(spark, d):
+    from .sources import files
+
+    folder = _folder(spark)
+    files.write(events(spark, d), folder)
+    return maintenance.expired_days(spark, folder, NOW_MS, 20).select("metric", F.col("day").cast("string").alias("day"))
+
+
+@query()
+def generated_metrics(spark, d):
+    from .sources import generator
+
+    return generator.metrics(spark, 3, 100).groupBy("series_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def stream_sessions(spark, d):
+    return tail.drain(tail.sessions(_stream(spark, d), "2 hours", ("metric",)), _folder(spark))
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: hourly means of clicks over two weeks."""
     return ask(f"SELECT count(value), avg(value), percentile(value, 95) FROM click WHERE {SPAN} GROUP BY time(1h)")(spark, d)
