@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import ROW_KEY, bounded_batches, row_key, save
+from .store import ROW_KEY, bounded_batches, row_key, save, temporary
 from .words import WordBlock, blocks, folded_words, pack_varints, unpack_varints
 
 WINDOW = 13
@@ -210,5 +210,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("row_key").alias(ROW_KEY)).distinct()
+    with temporary(docs.sparkSession):
+        bad = contamination(docs, benchmark).where("contaminated").select(F.col("row_key").alias(ROW_KEY)).distinct()
+        bad = save(bad, "contaminated", keep=True)
     return docs.withColumn(ROW_KEY, row_key()).join(bad, ROW_KEY, "left_anti").drop(ROW_KEY)

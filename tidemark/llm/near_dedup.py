@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import ROW_KEY, bounded_batches, row_key, save
+from .store import ROW_KEY, bounded_batches, row_key, save, temporary
 from .words import WordBlock, blocks, folded_words, mix, rolled
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -316,7 +316,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each class, with all its columns; of rows repeated in full content, one."""
-    found = save(classes(docs), "class-rows")
+    with temporary(docs.sparkSession):
+        found = save(classes(docs), "class-rows", keep=True)
     drop = found.where("not kept").select(F.col("row_key").alias(ROW_KEY)).distinct()
     rest = docs.withColumn(ROW_KEY, row_key()).join(drop, ROW_KEY, "left_anti")
     again = found.where("kept and has_words").groupBy("row_key").count().where("count > 1").select(F.col("row_key").alias(ROW_KEY))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +24,28 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables saved meanwhile at the end, but for those saved with keep."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def save(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a table to the shared folder and return a reader of it: its lineage ends there, so a lost
     executor costs no more than the running stage. A plan that yields no file yields an empty table."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open and not keep:
+        _open[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
