@@ -97,22 +97,28 @@ def largest_triangles(t: np.ndarray, v: np.ndarray, target: int) -> np.ndarray:
 
 
 def lttb(points: DataFrame, target: int, key: str = KEY, thin: int = 64) -> DataFrame:
-    """key, ts, value by largest triangles. Each pick depends on the one before, so a series is picked in one
-    task; one of more than thin * target points is first thinned by m4() to 4 * target, which keeps its outline and
-    bounds what the task holds."""
+    """key, ts, value by largest triangles. Each pick depends on the one before, so a series is picked as one
+    array; one of more than thin * target points is first thinned by m4() to 4 * target, which keeps its outline and
+    bounds the array."""
     target = max(LEAST_TARGET, target)
+    import pandas as pd
+
     rows = points.where("value is not null").select(key, "ts", "seq", "value")
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     sized = rows.join(sizes, key)
     long = m4(sized.where(F.col("n") > thin * target).drop("n"), 4 * target, key).withColumn("seq", F.lit(0).cast("long"))
     few = sized.where(F.col("n") <= thin * target).drop("n").unionByName(long)
 
-    def pick(pdf):
-        pdf = pdf.sort_values(["ts", "seq"], kind="stable")
-        t = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
-        return pdf.iloc[largest_triangles((t // 1000 - t[0] // 1000).astype(float), pdf["value"].to_numpy(float), target)][[key, "ts", "value"]]
+    listed = few.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ts", "seq", "value"))).alias("p"))
+
+    @F.pandas_udf("array<int>")
+    def pick(times, values):
+        kept = [largest_triangles((t // 1000 - t[0] // 1000).astype(float), np.asarray(v, float), target) for t, v in zip(times, values, strict=True)]
+        return pd.Series([k.astype(np.int32) for k in kept], index=times.index, dtype=object)
 
-    return few.groupBy(key).applyInPandas(pick, f"{key} string, ts timestamp_ntz, value double")
+    chosen = pick(F.transform("p", lambda x: micros(x["ts"])), F.transform("p", lambda x: x["value"]))
+    found = listed.select(key, "p", F.explode(chosen).alias("i")).select(key, F.get("p", F.col("i")).alias("x"))
+    return found.select(key, F.col("x.ts").alias("ts"), F.col("x.value").alias("value"))
 
 
 METHODS = {"lttb": lttb, "m4": m4, "minmax": min_max, "average": average, "avg": average, "first": first, "last": last}
