@@ -29,7 +29,7 @@ TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
 #: Different seeds that a pattern must stand before, at least, and as a share of all seeds (so that as many
 #: patterns are scored at every size of corpus); its least confidence; the scoring rounds.
-MIN_SEEDS, MIN_SHARE, MIN_CONFIDENCE, ROUNDS = 5, 0.0005, 0.5, 3
+MIN_SEEDS, MIN_SHARE, MIN_CONFIDENCE, ROUNDS = 5, 0.001, 0.5, 3
 #: Rows of about 100 bytes up to which a checked table is broadcast.
 BROADCAST_ROWS = 50_000
 #: Characters before a token in which its two pattern words must lie.
