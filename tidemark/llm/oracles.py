@@ -21,4 +21,32 @@ f AS (SELECT k, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(r
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN f USING (k)
 """
 
-ORACLES = {"op1_decontamination": _OP1, "op2_url_filters": _OP2}
+_OP8 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+m AS (SELECT s, min(doc_id) AS lo FROM g GROUP BY s),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM g JOIN m USING (s) WHERE doc_id > lo),
+n AS (SELECT doc_id, count(*) AS n_removed FROM r GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) ANTI JOIN r USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+_OP9 = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+r(x, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.x, r.c FROM r JOIN l ON l.y = r.x),
+c AS (SELECT x, min(c) AS c FROM r GROUP BY x),
+k AS (SELECT x, count(*) AS k FROM l GROUP BY x)
+SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN c ON c.x = vec_id LEFT JOIN k ON k.x = vec_id
+"""
+
+# Over the first 20 bits, which no table of fewer than 32 TB goes beyond.
+_OP10 = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(concat_ws(chr(31), coalesce(doc_id::VARCHAR, ''), coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
+p AS (SELECT k, n_bytes, d, h >> (60 - d) AS node FROM d, (SELECT unnest(range(0, 21)) AS d)),
+s AS (SELECT d, node, sum(n_bytes) AS size, count(*) AS docs FROM p GROUP BY d, node HAVING sum(n_bytes) <= 33554432 OR count(*) = 1),
+f AS (SELECT k, min(d) AS depth, arg_min(size, d) AS size FROM p JOIN s USING (d, node) GROUP BY k)
+SELECT doc_id, n_bytes, depth::INTEGER AS depth, left(lpad(bin(h), 60, '0'), depth::INTEGER) AS shard, size > 33554432 AS oversized FROM d JOIN f USING (k)
+"""
+
+ORACLES = {"op1_decontamination": _OP1, "op2_url_filters": _OP2, "op8_substring_dedup": _OP8, "op9_embedding_near_dedup": _OP9, "op10_sharding": _OP10}
