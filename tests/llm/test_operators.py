@@ -138,6 +138,20 @@ def test_contexts_are_learned(spark):
     assert all(not spans[200 + i] for i in range(60))
 
 
+def test_contexts_of_a_large_corpus(spark, monkeypatch):
+    """A pattern with five different seeds is scored however many seeds the corpus has, listed or joined."""
+    rows = [(i, f"write to rare contact: user{i}@mail.example.com and more") for i in range(8)]
+    rows += [(100, "write to rare contact: handle_7x soon"), (101, "write to rare contact: handle_7x soon")]
+    rows += [(1000 + i, f"see the page{i} word{i} u{i}@mail.example.com") for i in range(12_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for listed in (pii.LISTED_PATTERNS, 0):
+        monkeypatch.setattr(pii, "LISTED_PATTERNS", listed)
+        _, patterns = pii.discover(df.withColumn(pii.ROW_KEY, F.col("doc_id")))
+        assert [(r.pattern, r.seeds, r.total) for r in patterns.collect()] == [("rare contact:", 8, 10)]
+    spans = {r.doc_id: r.s for r in pii.find(df).select("doc_id", pii.written("spans").alias("s")).where("doc_id in (100, 101)").collect()}
+    assert spans == {100: "context:23:32", 101: "context:23:32"}
+
+
 def test_near_duplicates(docs, none, small):
     got = near_dedup.classes(docs).collect()
     by = {}

@@ -9,7 +9,6 @@ confidences of its patterns. Tokens after confident patterns become further span
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -27,11 +26,12 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
-#: Different seeds that a pattern must stand before, at least, and as a share of all seeds (so that as many
-#: patterns are scored at every size of corpus); its least confidence; the scoring rounds.
-MIN_SEEDS, MIN_SHARE, MIN_CONFIDENCE, ROUNDS = 5, 0.001, 0.5, 3
+#: Different seeds that a pattern must stand before, at every size of corpus; its least confidence; the scoring rounds.
+MIN_SEEDS, MIN_CONFIDENCE, ROUNDS = 5, 0.5, 3
 #: Rows of about 100 bytes up to which a checked table is broadcast.
 BROADCAST_ROWS = 50_000
+#: Patterns up to which their hashes are listed in the filter of the corpus's word pairs.
+LISTED_PATTERNS = 20_000
 #: Characters before a token in which its two pattern words must lie.
 REACH = 128
 SPAN = "struct<start:int,rank:int,end:int>"
@@ -127,18 +127,17 @@ def _corpus_counts(docs: DataFrame, patterns: DataFrame, text_col: str) -> DataF
     words = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+")
     pairs = docs.select(words.alias("w")).where(F.size("w") >= 3).select(F.explode(F.zip_with(F.slice("w", 1, F.size("w") - 2), F.slice("w", 2, F.size("w") - 2), lambda a, b: F.xxhash64(a, b))).alias("pair"))
     wanted = patterns.select("pattern", F.xxhash64(F.get(F.split("pattern", " "), F.lit(0)), F.get(F.split("pattern", " "), F.lit(1))).alias("pair"))
-    if patterns.count() <= BROADCAST_ROWS:
-        return pairs.join(F.broadcast(wanted), "pair").groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+    if patterns.count() <= LISTED_PATTERNS:  # other pairs go before the aggregation, which has a row a pattern and task
+        pairs = pairs.where(f"pair in ({','.join(str(r.pair) for r in wanted.select('pair').distinct().toLocalIterator())})")
     return pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("total")).join(wanted, "pair").select("pattern", "total")
 
 
-def discover(docs: DataFrame, text_col: str = "text", min_seeds: int = MIN_SEEDS, min_share: float = MIN_SHARE, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def discover(docs: DataFrame, text_col: str = "text", min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(spans, patterns) that the bootstrapping finds. docs has ROW_KEY. spans: key, start, end of tokens that
     are no base spans; patterns: pattern, seeds, total, confidence. Either may be empty."""
     seen = save(_occurrences(docs, text_col), "identifiers")
     edges = seen.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.min("seed").alias("seed"))
-    least = max(min_seeds, math.ceil(min_share * seen.where("seed is not null").count()))
-    patterns = save(edges.groupBy("pattern").agg(F.count("seed").alias("seeds")).where(F.col("seeds") >= least), "patterns")
+    patterns = save(edges.groupBy("pattern").agg(F.count("seed").alias("seeds")).where(F.col("seeds") >= min_seeds), "patterns")
     if patterns.isEmpty():
         return seen.select("key", "start", "end").limit(0), patterns.select("pattern", "seeds", F.lit(None).cast("long").alias("total"), F.lit(None).cast("double").alias("confidence"))
     patterns = save(patterns.join(_corpus_counts(docs, patterns, text_col), "pattern"), "pattern-totals")
