@@ -221,6 +221,17 @@ def test_quality_accuracy(spark):
     assert good.selected.mean() > 0.97 and bad.selected.mean() < 0.2
 
 
+def test_toxic_documents_go(spark):
+    """Held out, as above: toxic documents of good quality go, clean ones stay."""
+    d = "/root/testdata/sf0.1"
+    documents, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    held = labels.where("doc_id % 3 = 0")
+    found = quality.select(documents.join(labels.select("doc_id"), "doc_id", "left_semi"), labels.where("doc_id % 3 <> 0")).join(held, "doc_id").toPandas()
+    toxic, clean = found[(found.quality == 1) & (found.toxic == 1)], found[(found.quality == 1) & (found.toxic == 0)]
+    assert (toxic.log_weight > 0).mean() > 0.9  # by their weight alone they would stay
+    assert toxic.selected.mean() < 0.25 and clean.selected.mean() > 0.98
+
+
 def test_kth_largest(spark):
     xs = [float(x) for x in np.random.default_rng(3).normal(size=5000)] + [1.5] * 50
     df = spark.createDataFrame([(x,) for x in xs], "x double")

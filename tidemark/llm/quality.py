@@ -5,6 +5,11 @@ text, one of all raw text. A document's importance is the log ratio of the two,
 what the calibrated cut allows a text of its length, plus the log odds of good labels (so that a text too short
 to tell goes with the majority). Gumbel noise on these weights and an exact top-k choose the
 sample; k is the number of documents with a positive weight.
+
+Toxic documents may be well written, so a model of their own finds them: words and word prefixes that more
+labelled toxic than other labelled documents hold are weighed by the lower bound of the log ratio of these shares.
+A document's toxicity is the sum of its STRONGEST heaviest words, so that a few insults count in a long text too,
+and documents above a cut of its own calibration are rejected whatever their weight.
 """
 
 from __future__ import annotations
@@ -30,36 +35,71 @@ TEMPERATURE, SEED = 0.05, 20240131
 #: Bound on each log ratio: one rare n-gram doesn't decide.
 CLIP = 6.0
 
-SCORED = "doc_id long, row_key long, label int, fold int, n_grams long, ratio double"
+#: Toxic words: buckets of their hashes, lengths of prefixes in characters, standard errors that a log ratio is
+#: lowered by, and words that make up a document's toxicity.
+TOXIC_BUCKETS, PREFIXES, ERRORS, STRONGEST = 1 << 18, range(4, 9), 1.0, 3
+
+SCORED = "doc_id long, row_key long, label int, toxic int, fold int, n_grams long, ratio double, toxicity double"
 _GRAM = re.compile(r"\w+|[^\w\s]+")
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def split(texts: list[str | None]) -> WordBlock:
+    """The words and punctuation of the texts, in lower case."""
+    return WordBlock([t.encode("utf-8", "surrogatepass") for t in _GRAM.findall(x.lower())] if x else [] for x in texts)
+
+
+def grams(block: WordBlock) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, starts): the hashed n-grams of the texts, each text's end to end, singles before pairs."""
-    block = WordBlock([t.encode("utf-8", "surrogatepass") for t in _GRAM.findall(x.lower())] if x else [] for x in texts)
     h = block.hashes(7)
     pair = np.zeros(len(h), bool)
     pair[: len(h) - 1] = block.owner[1:] == block.owner[:-1] if len(h) else False
     both = mix(h + mix(np.roll(h, -1)))[pair]
     owner = np.concatenate([block.owner, block.owner[pair]])
     order = np.argsort(owner, kind="stable")
-    starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))]).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(block.counts)))]).astype(np.int64)
     return (np.concatenate([h, both])[order] % np.uint64(BUCKETS)).astype(np.int64), starts
 
 
+def marks(block: WordBlock) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, terms): the hashed forms of the block's terms, that is each word and its prefixes, with its number."""
+    import xxhash
+
+    buckets, terms = [], []
+    for i, term in enumerate(block.terms):
+        word = term.decode("utf-8", "surrogatepass")
+        for form in (word, *(word[:k] + "-" for k in PREFIXES if len(word) > k)):
+            buckets.append(xxhash.xxh3_64_intdigest(form.encode("utf-8", "surrogatepass"), 11) % TOXIC_BUCKETS)
+            terms.append(i)
+    return np.array(buckets, np.int64), np.array(terms, np.int64)
+
+
+def toxicity(block: WordBlock, table: np.ndarray) -> np.ndarray:
+    """The summed weights of each text's STRONGEST different words; a word weighs as much as its heaviest form."""
+    buckets, terms = marks(block)
+    heaviest = np.zeros(len(block.terms))
+    np.maximum.at(heaviest, terms, table[buckets])
+    heavy = np.flatnonzero(heaviest[block.ids] > 0)
+    pairs = np.unique(np.stack([block.owner[heavy], block.ids[heavy]], 1), axis=0)
+    owner, weight = pairs[:, 0], heaviest[pairs[:, 1]]
+    order = np.lexsort([-weight, owner])
+    owner, weight = owner[order], weight[order]
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    return np.bincount(owner[place < STRONGEST], weight[place < STRONGEST], minlength=len(block.counts)).astype(float)
+
+
 def _labelled(labels: DataFrame, limit: int) -> DataFrame:
-    """doc_id, label (1: good and not toxic), fold of a fixed sample of the labels; a doc_id once."""
+    """doc_id, label (1: good and not toxic), toxic, fold of a fixed sample of the labels; a doc_id once."""
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
-    rows = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.when(good, 1).otherwise(0)).alias("label"))
-    return rows.withColumn("h", F.xxhash64("doc_id", F.lit(SEED))).orderBy("h", "doc_id").limit(limit).select("doc_id", "label", F.pmod("h", F.lit(2)).cast("int").alias("fold"))
+    rows = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.when(good, 1).otherwise(0)).alias("label"), F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
+    return rows.withColumn("h", F.xxhash64("doc_id", F.lit(SEED))).orderBy("h", "doc_id").limit(limit).select("doc_id", "label", "toxic", F.pmod("h", F.lit(2)).cast("int").alias("fold"))
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((2, BUCKETS), np.int64)
     for rows in blocks(batches, 2 << 20):
-        buckets, starts = grams([r[-1] for r in rows])
+        buckets, starts = grams(split([r[-1] for r in rows]))
         total[0] += np.bincount(buckets, minlength=BUCKETS)
-        for k, (_, _, label, fold, _) in enumerate(rows):
+        for k, (_, _, label, _, fold, _) in enumerate(rows):
             if label == 1 and fold == 0:
                 total[1] += np.bincount(buckets[starts[k] : starts[k + 1]], minlength=BUCKETS)
     model, bucket = np.nonzero(total)
@@ -78,6 +118,34 @@ def log_ratios(rows: DataFrame) -> np.ndarray:
     return np.clip(np.log(target / raw), -CLIP, CLIP)
 
 
+def _mark_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((2, TOXIC_BUCKETS), np.int64)
+    docs = np.zeros(2, np.int64)
+    for rows in blocks(batches, 2 << 20):
+        for toxic, text in rows:
+            total[toxic, np.unique(marks(split([text]))[0])] += 1
+            docs[toxic] += 1
+    model, bucket = np.nonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(model, [0, 1]).astype(np.int32)), pa.array(np.append(bucket, [-1, -1]).astype(np.int32)), pa.array(np.append(total[model, bucket], docs))], names=["model", "bucket", "n"])
+
+
+def toxic_weights(rows: DataFrame) -> np.ndarray:
+    """The weight of each bucket of marks, 0 or more, from the labelled documents that fit models: by how much its
+    share of toxic ones exceeds that of others, for sure. All 0 where no document is toxic."""
+    fit = rows.where("fold = 0 and text is not null").select("toxic", "text")
+    counted = fit.mapInArrow(_mark_counts, "model int, bucket int, n long").groupBy("model", "bucket").agg(F.sum("n").alias("n"))
+    total, docs = np.zeros((2, TOXIC_BUCKETS)), np.zeros(2)
+    for r in counted.toLocalIterator():
+        if r.bucket < 0:
+            docs[r.model] = r.n
+        else:
+            total[r.model, r.bucket] = r.n
+    if not docs[1]:
+        return np.zeros(TOXIC_BUCKETS)
+    other, toxic = total + 0.5
+    return np.maximum(np.log(toxic / (docs[1] + 1)) - np.log(other / (docs[0] + 1)) - ERRORS * np.sqrt(1 / toxic + 1 / other), 0.0)
+
+
 def best_cut(good: np.ndarray, bad: np.ndarray, loss: float = LOSS) -> float:
     """The score below which documents go: it maximises the share of bad ones below less `loss` times that of
     good ones, with ties to the lower cut. Without bad ones it loses at most one good one in a thousand."""
@@ -113,35 +181,41 @@ def kth_largest(df: DataFrame, col: str, k: int, small: int = 2000) -> float:
 
 
 def select(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, temperature: float = TEMPERATURE) -> DataFrame:
-    """doc_id, row_key, n_grams, log_weight, key, selected, a row per input row. Texts without n-grams (null,
+    """doc_id, row_key, n_grams, log_weight, marked (toxic), key, selected, a row per input row. Toxic ones aren't selected. Texts without n-grams (null,
     empty) have no weight and aren't selected. Rows equal in doc_id and content share their noise, so they stay
     or go together. Without good labelled documents every document with n-grams is selected."""
     spark = docs.sparkSession
     bounded_batches(spark)
     sample = F.broadcast(_labelled(labels, labelled))  # at most `labelled` rows of two integers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("string").alias("text")).join(sample, "doc_id", "left").select("doc_id", "row_key", "label", "fold", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("string").alias("text")).join(sample, "doc_id", "left").select("doc_id", "row_key", "label", "toxic", "fold", "text")
     ratio = spark.sparkContext.broadcast(log_ratios(rows).tolist())
+    heavy = toxic_weights(rows)
+    marked = spark.sparkContext.broadcast((np.flatnonzero(heavy).tolist(), heavy[heavy > 0].tolist()))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.array(ratio.value)
+        table, toxic = np.array(ratio.value), np.zeros(TOXIC_BUCKETS)
+        toxic[np.array(marked.value[0], np.int64)] = marked.value[1]
         for part in blocks(batches, 2 << 20):
-            buckets, starts = grams([r[-1] for r in part])
+            block = split([r[-1] for r in part])
+            buckets, starts = grams(block)
             run = np.concatenate([[0.0], np.cumsum(table[buckets])])
-            cols = list(zip(*(r[:4] for r in part), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(np.diff(starts)), pa.array(run[starts[1:]] - run[starts[:-1]])], names=[x.split()[0] for x in SCORED.split(", ")])
+            cols = list(zip(*(r[:5] for r in part), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(np.diff(starts)), pa.array(run[starts[1:]] - run[starts[:-1]]), pa.array(toxicity(block, toxic))], names=[x.split()[0] for x in SCORED.split(", ")])
 
     scored = save(rows.mapInArrow(score, SCORED), "importance")
-    held = scored.where("fold = 1 and n_grams > 0").select("label", (F.col("ratio") / F.col("n_grams")).alias("s")).limit(2 * labelled).toPandas()
+    held = scored.where("fold = 1 and n_grams > 0").select("label", "toxic", "toxicity", (F.col("ratio") / F.col("n_grams")).alias("s")).limit(2 * labelled).toPandas()
     cut = best_cut(held.s[held.label == 1].to_numpy(), held.s[held.label == 0].to_numpy())
+    # Of each document's negative toxicity, as best_cut() rejects what is below; without toxic ones to learn from nothing.
+    safe = best_cut(-held.toxicity[held.toxic == 0].to_numpy(), -held.toxicity[held.toxic == 1].to_numpy()) if (held.toxic == 1).any() and heavy.any() else -np.inf
     odds = float(np.log((held.label == 1).sum() + 1) - np.log((held.label == 0).sum() + 1))
     weight = F.when(F.col("n_grams") == 0, F.lit(None)).otherwise(F.col("ratio") - F.lit(cut) * F.col("n_grams") + F.lit(odds) if np.isfinite(cut) else F.lit(1.0)).cast("double")
     uniform = (F.pmod(F.xxhash64("row_key", F.lit(SEED)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keyed = save(scored.select("doc_id", "row_key", "n_grams", weight.alias("log_weight")).withColumn("key", F.col("log_weight") - temperature * F.log(-F.log(uniform))), "keys")
-    k = keyed.where("log_weight > 0").count()
+    keyed = save(scored.select("doc_id", "row_key", "n_grams", weight.alias("log_weight"), (-F.col("toxicity") < F.lit(safe)).alias("marked")).withColumn("key", F.col("log_weight") - temperature * F.log(-F.log(uniform))), "keys")
+    k = keyed.where("log_weight > 0 and not marked").count()
     if not k:
         return keyed.withColumn("selected", F.lit(False))
-    least = kth_largest(keyed.where("key is not null"), "key", k)
-    return keyed.withColumn("selected", F.coalesce(F.col("key") >= F.lit(least), F.lit(False)))
+    least = kth_largest(keyed.where("key is not null and not marked"), "key", k)
+    return keyed.withColumn("selected", F.coalesce((F.col("key") >= F.lit(least)) & ~F.col("marked"), F.lit(False)))
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
