@@ -125,6 +125,17 @@ def test_lttb_properties(values, target):
     assert len(kept) == min(target, len(values))
 
 
+def test_lttb_of_long_series(frame):
+    """As over one array, however long the series and wherever its batches end."""
+    r = np.random.default_rng(5)
+    for n, target in ((2000, 8), (513, 8), (40, 8), (9, 8), (1000, 3), (12_000, 50)):
+        t, v = np.cumsum(r.integers(1, 90_000, n)), np.round(r.normal(size=n).cumsum(), 3)
+        got = downsample.lttb(frame([("a", int(x), float(y)) for x, y in zip(t, v)] + [("b", 5, 1.0), ("b", 9, 2.0)]), target)
+        want = [v[i] for i in downsample.largest_triangles((t - t[0]).astype(float), v, target)]
+        assert [x.value for x in got.where("series_key = 'a'").orderBy("ts").collect()] == want
+        assert [x.value for x in got.where("series_key = 'b'").orderBy("ts").collect()] == [1.0, 2.0]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.floats(allow_nan=True), max_size=50))
 def test_xor_round_trip(values):

@@ -96,29 +96,50 @@ def largest_triangles(t: np.ndarray, v: np.ndarray, target: int) -> np.ndarray:
     return np.array([*kept, n - 1])
 
 
-def lttb(points: DataFrame, target: int, key: str = KEY, thin: int = 64) -> DataFrame:
-    """key, ts, value by largest triangles. Each pick depends on the one before, so a series is picked as one
-    array; one of more than thin * target points is first thinned by m4() to 4 * target, which keeps its outline and
-    bounds the array."""
+def lttb(points: DataFrame, target: int, key: str = KEY) -> DataFrame:
+    """key, ts, value by largest triangles over every point. Each pick depends on the one before, so a series streams
+    through one task in sorted batches; each row brings the mean of the next bucket, and only the last pick and the
+    bucket's best point so far are kept, so its length doesn't count against memory."""
     target = max(LEAST_TARGET, target)
     import pandas as pd
 
-    rows = points.where("value is not null").select(key, "ts", "seq", "value")
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    sized = rows.join(sizes, key)
-    long = m4(sized.where(F.col("n") > thin * target).drop("n"), 4 * target, key).withColumn("seq", F.lit(0).cast("long"))
-    few = sized.where(F.col("n") <= thin * target).drop("n").unionByName(long)
-
-    listed = few.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ts", "seq", "value"))).alias("p"))
-
-    @F.pandas_udf("array<int>")
-    def pick(times, values):
-        kept = [largest_triangles((t // 1000 - t[0] // 1000).astype(float), np.asarray(v, float), target) for t, v in zip(times, values, strict=True)]
-        return pd.Series([k.astype(np.int32) for k in kept], index=times.index, dtype=object)
-
-    chosen = pick(F.transform("p", lambda x: micros(x["ts"])), F.transform("p", lambda x: x["value"]))
-    found = listed.select(key, "p", F.explode(chosen).alias("i")).select(key, F.get("p", F.col("i")).alias("x"))
-    return found.select(key, F.col("x.ts").alias("ts"), F.col("x.value").alias("value"))
+    ms = F.floor(micros() / 1000)
+    rows = numbered(points.where("value is not null").select(key, "ts", "seq", "value"), key)
+    starts = rows.groupBy(key).agg(F.min(ms).alias("t0"))
+    rows = rows.join(starts, key).withColumn("t", (ms - F.col("t0")).cast("double")).drop("t0")
+    width = (F.col("n") - 2) / F.lit(target - 2)
+    guess = F.floor((F.col("pos") - 1) / width)
+    edge = lambda b: F.floor(b * width) + 1
+    bucket = F.when(F.col("pos") < edge(guess), guess - 1).when(F.col("pos") >= edge(guess + 1), guess + 1).otherwise(guess)
+    # The first point is bucket -1; the last is a bucket of its own, the one after the others.
+    rows = rows.withColumn("b", F.when(F.col("n") <= target, F.lit(None)).when(F.col("pos") == 0, -1).when(F.col("pos") == F.col("n") - 1, target - 2).otherwise(F.least(bucket, F.lit(target - 3))).cast("long"))
+    means = rows.where("b >= 1").groupBy(key, "b").agg(F.avg("t").alias("next_t"), F.avg("value").alias("next_v")).withColumn("b", F.col("b") - 1)
+    ordered = rows.join(means, [key, "b"], "left").select(key, "ts", "pos", "value", "b", "t", "next_t", "next_v").repartition(key).sortWithinPartitions(key, "pos")
+
+    def run(batches):
+        last_key = bucket = best = pick = None  # best: (area, ts, t, value) of the bucket; pick: (t, value)
+        for pdf in batches:
+            out = []
+            b, t, v, ts = pdf["b"].to_numpy(float), pdf["t"].to_numpy(float), pdf["value"].to_numpy(float), pdf["ts"].to_numpy()
+            next_t, next_v, keys = pdf["next_t"].to_numpy(float), pdf["next_v"].to_numpy(float), pdf[key].to_numpy()
+            new = np.ones(len(pdf), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | ((b[1:] != b[:-1]) | np.isnan(b[1:]))
+            for lo, hi in zip(np.flatnonzero(new), [*np.flatnonzero(new)[1:], len(pdf)], strict=True):
+                if best is not None and (keys[lo] != last_key or b[lo] != bucket):
+                    out.append((last_key, best[1], best[3]))
+                    pick, best = best[2:], None
+                last_key, bucket = keys[lo], b[lo]
+                if np.isnan(bucket) or bucket in (-1, target - 2):
+                    out.append((last_key, ts[lo], v[lo]))
+                    pick = (t[lo], v[lo])
+                    continue
+                area = np.abs((pick[0] - next_t[lo]) * (v[lo:hi] - pick[1]) - (pick[0] - t[lo:hi]) * (next_v[lo] - pick[1]))
+                at = lo + int(area.argmax())
+                if best is None or area[at - lo] > best[0]:
+                    best = (area[at - lo], ts[at], t[at], v[at])
+            yield pd.DataFrame({key: [x[0] for x in out], "ts": np.array([x[1] for x in out], "datetime64[ns]"), "value": [float(x[2]) for x in out]})
+
+    return ordered.mapInPandas(run, ordered.select(key, "ts", "value").schema)
 
 
 METHODS = {"lttb": lttb, "m4": m4, "minmax": min_max, "average": average, "avg": average, "first": first, "last": last}
