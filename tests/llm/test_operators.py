@@ -345,6 +345,17 @@ def test_licenses(docs, none, small):
     assert got == want and want
 
 
+def test_short_licenses(spark):
+    rows = [(1, "x y. All rights reserved. z, all RIGHTS reserved"), (2, "all rights"), (3, "reserved"), (4, "SPDX-License-Identifier: MIT"), (5, "all rights not reserved"), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1, 3):
+        found = licenses.scan(df.repartition(n), licenses.TEMPLATES | licenses.SHORT | {"SPDX-MIT": "SPDX-License-Identifier: MIT"})
+        got = {r.doc_id: [tuple(m) for m in r.licenses] for r in found.collect()}
+        assert got == {1: [("all-rights-reserved-notice", 2, 4, 1, 1), ("all-rights-reserved-notice", 6, 8, 1, 1)], 4: [("SPDX-MIT", 0, 3, 1, 1)], 2: [], 3: [], 5: [], 6: []}
+    shown = {r.doc_id for r in queries.QUERIES["op4_license_scan"](spark, DIR).where("matches like '%all-rights-reserved-notice%'").collect()}
+    assert shown == {i for i, t in texts() if re.search(r"all rights reserved\.", t or "", re.I)} and shown
+
+
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_oracles(spark, name):
     db = duckdb.connect()

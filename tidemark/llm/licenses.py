@@ -4,7 +4,8 @@ A template is cut into five-word shingles. Texts are scanned in windows somewhat
 stride of a quarter of it, so any stretch of the template's length lies whole in some window. A stretch that
 holds 80 % of the template's shingles then has a Jaccard similarity with its window of at least LEAST; one hash
 a band and BANDS bands retrieve it with a chance of 1 - (1 - LEAST) ** BANDS. Retrieved templates are verified by
-counting their shingles in the window exactly.
+counting their shingles in the window exactly. A template of fewer than five words is one shingle of all its
+words, which is looked up at that width wherever it stands.
 """
 
 from __future__ import annotations
@@ -42,6 +43,9 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced",
 }
 
+# Notices of fewer than five words.
+SHORT = {"all-rights-reserved-notice": "All rights reserved."}
+
 
 def least_similarity(shingles: int, window: int) -> float:
     """The least Jaccard similarity of a template of so many shingles and a window of `window` shingles that
@@ -62,6 +66,7 @@ class Templates:
 
         self.seeds = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
         self.names = [k for k in sorted(texts) if len(folded_words(texts[k])) >= SHINGLE]
+        self.short = [(k, w, hashes(texts[k])[0]) for k in sorted(texts) if 0 < (w := len(folded_words(texts[k]))) < SHINGLE]
         self.shingles = [hashes(texts[k]) for k in self.names]
         self.classes: dict[tuple[int, int], list[int]] = defaultdict(list)
         for k, x in enumerate(self.shingles):
@@ -85,10 +90,18 @@ def sliding_min(x: np.ndarray, width: int, stride: int) -> np.ndarray:
 def _scan(block: WordBlock, known: Templates) -> list[list[tuple]]:
     """For each text, (license, first word, last word, shingles, matched) of the verified matches."""
     found: list[dict] = [{} for _ in block.counts]
-    n = len(block.ids)
-    x = rolled(block.hashes(0), SHINGLE)
-    if not len(x):
-        return [[] for _ in found]
+    words = block.hashes(0)
+    short: list[list[tuple]] = [[] for _ in found]
+    for width in sorted({w for _, w, _ in known.short}):
+        x = rolled(words, width)
+        one = block.owner[: len(x)] == block.owner[width - 1 :][: len(x)]
+        for name, _, wanted in (k for k in known.short if k[1] == width):
+            for i in np.flatnonzero((x == wanted) & one).tolist():
+                d = int(block.owner[i])
+                short[d].append((name, i - int(block.starts[d]), i - int(block.starts[d]) + width - 1, 1, 1))
+    x = rolled(words, SHINGLE)
+    if not len(x) or not known.names:
+        return [sorted(of) for of in short]
     inside = block.owner[: len(x)] == block.owner[SHINGLE - 1 :]
     ranks = [np.where(inside, mix(x ^ s), np.uint64((1 << 64) - 1)) for s in known.seeds]
     for (width, stride), members in known.classes.items():
@@ -115,12 +128,12 @@ def _scan(block: WordBlock, known: Templates) -> list[list[tuple]]:
                         rows[-1] = (first, max(last, span[1]), max(most, matched))
                     else:
                         rows.append((*span, matched))
-    return [sorted((known.names[k], a, b, len(known.shingles[k]), m) for k, rows in of.items() for a, b, m in rows) for of in found]
+    return [sorted([*few, *((known.names[k], a, b, len(known.shingles[k]), m) for k, rows in of.items() for a, b, m in rows)]) for few, of in zip(short, found, strict=True)]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """FOUND, a row per input row: the stretches of words that hold 80 % or more of a template's five-word
-    shingles (templates of fewer than five words are left out). A null or empty text has none. Repeated rows
+    shingles (all words of a template of fewer than five). A null or empty text has none. Repeated rows
     give their result each."""
     spark = docs.sparkSession
     bounded_batches(spark)

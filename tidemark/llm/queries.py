@@ -54,7 +54,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    found = licenses.scan(_table(spark, sf_dir, "documents"), licenses.TEMPLATES | licenses.SHORT)
     shown = F.transform("licenses", lambda m: F.concat_ws(":", m["license"], m["first_word"].cast("string"), m["last_word"].cast("string"), m["matched"].cast("string")))
     return found.select("doc_id", "n_words", F.size("licenses").cast("long").alias("n_matches"), F.array_join(shown, ",").alias("matches"))
 
