@@ -345,6 +345,19 @@ def test_licenses(docs, none, small):
     assert got == want and want
 
 
+def test_licenses_of_like_wording(spark):
+    """Each license and notice, amid other words, is reported as itself and as no like one on the same stretch."""
+    gpl3 = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    names = sorted(licenses.TEMPLATES)
+    rows = [(i, f"{LONG} {licenses.TEMPLATES[k]} {LONG}") for i, k in enumerate(names)]
+    found = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame([*rows, (-1, gpl3)], "doc_id long, text string")).collect()}
+    assert [m.license for m in found[-1]] == ["GPL-3.0-notice"]
+    for i, k in enumerate(names):
+        n = len(folded_words(licenses.TEMPLATES[k]))
+        whole = [m for m in found[i] if m.last_word - m.first_word + 1 > n / 2]
+        assert [(m.license, m.first_word, m.last_word) for m in whole] == [(k, 400, 399 + n)], k
+
+
 def test_short_licenses(spark):
     rows = [(1, "x y. All rights reserved. z, all RIGHTS reserved"), (2, "all rights"), (3, "reserved"), (4, "SPDX-License-Identifier: MIT"), (5, "all rights not reserved"), (6, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

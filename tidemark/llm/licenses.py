@@ -5,7 +5,8 @@ stride of a quarter of it, so any stretch of the template's length lies whole in
 holds 80 % of the template's shingles then has a Jaccard similarity with its window of at least LEAST; one hash
 a band and BANDS bands retrieve it with a chance of 1 - (1 - LEAST) ** BANDS. Retrieved templates are verified by
 counting their shingles in the window exactly. A template of fewer than five words is one shingle of all its
-words, which is looked up at that width wherever it stands.
+words, which is looked up at that width wherever it stands. Licenses share wording: of matches on one stretch the
+one of highest containment is reported.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +39,27 @@ TEMPLATES = {
     "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "MIT-notice": "Released under the MIT License",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced",
 }
+_FREE = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+TEMPLATES |= {
+    "GPL-3.0-notice": _FREE.format("program", ":", "General Public License", ",", "3"),
+    "AGPL-3.0-notice": _FREE.format("program", ":", "Affero General Public License", ",", "3"),
+    "LGPL-2.0-notice": _FREE.format("library", ";", "Library General Public License", ";", "2"),
+    "LGPL-2.1-notice": _FREE.format("library", ";", "Lesser General Public License", ";", "2.1"),
+    "LGPL-3.0-notice": _FREE.format("program", ":", "Lesser General Public License", ",", "3"),
+}
+
+_BSD = TEMPLATES["BSD"] + " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_AS_IS = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+TEMPLATES |= {"BSD-2-Clause": _BSD + _AS_IS, "BSD-3-Clause": _BSD + _BSD_3 + _AS_IS}
+
+# Whole licenses, a file each.
+TEMPLATES |= {p.stem: p.read_text("utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
 # Notices of fewer than five words.
 SHORT = {"all-rights-reserved-notice": "All rights reserved."}
@@ -87,6 +105,30 @@ def sliding_min(x: np.ndarray, width: int, stride: int) -> np.ndarray:
     return out[::stride]
 
 
+def sliding_minima(x: np.ndarray, classes: Iterable[tuple[int, int]]) -> dict[tuple[int, int], np.ndarray]:
+    """sliding_min() of each (width, stride), over one doubling of the windows for all."""
+    n, out, run, have = len(x), {}, x.copy(), 1
+    for width, stride in sorted(classes):
+        while 2 * have <= width:
+            if have < n:
+                run[: n - have] = np.minimum(run[: n - have], run[have:])
+            have *= 2
+        least, later = run[::stride].copy(), run[width - have :: stride]
+        least[: len(later)] = np.minimum(least[: len(later)], later)
+        out[width, stride] = least
+    return out
+
+
+def _best(rows: list[tuple]) -> list[tuple]:
+    """Of (license, first word, last word, shingles, matched), those that no better one covers: matches whose overlap
+    is half of the longer one or more are on one stretch; the higher containment wins, then the more words."""
+    kept: list[tuple] = []
+    for r in sorted(rows, key=lambda r: (-r[4] / r[3], -r[4], r)):
+        if not any(2 * (min(r[2], k[2]) - max(r[1], k[1]) + 1) >= max(r[2] - r[1], k[2] - k[1]) + 1 for k in kept):
+            kept.append(r)
+    return sorted(kept)
+
+
 def _scan(block: WordBlock, known: Templates) -> list[list[tuple]]:
     """For each text, (license, first word, last word, shingles, matched) of the verified matches."""
     found: list[dict] = [{} for _ in block.counts]
@@ -103,11 +145,11 @@ def _scan(block: WordBlock, known: Templates) -> list[list[tuple]]:
     if not len(x) or not known.names:
         return [sorted(of) for of in short]
     inside = block.owner[: len(x)] == block.owner[SHINGLE - 1 :]
-    ranks = [np.where(inside, mix(x ^ s), np.uint64((1 << 64) - 1)) for s in known.seeds]
+    minima = [sliding_minima(np.where(inside, mix(x ^ s), np.uint64((1 << 64) - 1)), known.classes) for s in known.seeds]
     for (width, stride), members in known.classes.items():
         hits: set[tuple[int, int]] = set()
-        for b, rank in enumerate(ranks):
-            least = sliding_min(rank, width, stride)
+        for b, of_class in enumerate(minima):
+            least = of_class[width, stride]
             values = np.array([known.minima[k][b] for k in members])
             order = np.argsort(values)
             at = np.clip(np.searchsorted(values[order], least), 0, len(values) - 1)
@@ -133,7 +175,7 @@ def _scan(block: WordBlock, known: Templates) -> list[list[tuple]]:
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """FOUND, a row per input row: the stretches of words that hold 80 % or more of a template's five-word
-    shingles (all words of a template of fewer than five). A null or empty text has none. Repeated rows
+    shingles, with the best template of each (all words of a template of fewer than five). A null or empty text has none. Repeated rows
     give their result each."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -151,7 +193,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
         for rows in blocks(batches, 2 << 20):
             block = WordBlock(folded_words(r[1]) for r in rows)
             every = [_scan(block, k) for k in known]
-            merged = [[dict(zip(names, m, strict=True)) for of in texts for m in of] for texts in zip(*every, strict=True)]
+            merged = [[dict(zip(names, m, strict=True)) for m in _best([m for of in texts for m in of])] for texts in zip(*every, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(block.counts), pa.array(merged, kind)], names=["doc_id", "n_words", "licenses"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, FOUND)
