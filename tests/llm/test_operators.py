@@ -63,6 +63,12 @@ def test_decontamination(docs, none, benchmark, spark):
     assert decontaminate.contamination(docs, benchmark.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_benchmark_items_without_id(docs, spark):
+    nameless = spark.createDataFrame([(None, " ".join(W[50:70]))], "item_id long, text string")
+    by = {(r.doc_id, r.n_words): (r.n_hit, list(r["items"]), r.contaminated) for r in decontaminate.contamination(docs, nameless).collect()}
+    assert by[1, 400] == (20, [], True) and by[7, 3] == (0, [], False)
+
+
 def test_decontamination_in_blocks(docs, benchmark, monkeypatch):
     whole = decontaminate.contamination(docs, benchmark).select("doc_id", "n_words", "n_hit", "items").collect()
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)

@@ -61,7 +61,7 @@ class Windows:
         for item, words in items:
             ids = tuple(self.vocab.setdefault(w, len(self.vocab)) for w in words)
             for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                seen.setdefault(ids[i : i + width], set()).add(item)
+                seen.setdefault(ids[i : i + width], set()).update([] if item is None else [item])
         self.items = [sorted(x) for x in seen.values()]
         self.lengths = np.array([len(w) for w in seen], np.int64)
         self.terms = np.full((len(seen), max(self.lengths, default=1)), -1, np.int32)
@@ -138,7 +138,7 @@ def near_docs(seg: Segment, win: Windows, slop: int) -> Iterator[tuple[int, np.n
 
 def _benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The benchmark in blocks of a checked size, each read alone."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     size = items.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + size // BLOCK_BYTES
     for k in range(n):
@@ -177,7 +177,7 @@ def _search(index: DataFrame, items: list, slop: int | None) -> DataFrame:
 def matches(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", slop: int | None = None) -> DataFrame:
     """One row per indexed document: doc_id, row_key, n_words, hits (a bit per word), items (ids of the items
     found, as strings). slop None: exact phrases of 13 words. A number: proximity, that is every term of a
-    window within that many words of its rarest term. An empty benchmark finds nothing."""
+    window within that many words of its rarest term. Items without an id count for hits but aren't listed. An empty benchmark finds nothing."""
     parts = [_search(index, items, slop) for items in _benchmark_blocks(benchmark, item_col, text_col)]
     if len(parts) == 1:
         return parts[0].drop("segment", "ordinal")
