@@ -296,7 +296,7 @@ def test_embeddings(spark):
         v = base[i % 20] + r.normal(size=16) * r.choice([0.02, 0.3])
         rows.append((i, [float(x) for x in v], i % 3))
     rows += [(500 + i, rows[0][1], 0) for i in range(5)] + [(600, None, 0), (601, [], 0), (602, [0.0] * 16, 0), (603, [float("nan")] * 16, 0), (604, rows[0][1], None), (605, [1.0, None], 0), (606, [1.0, 2.0], 0), (None, rows[0][1], 0), (607, [float("inf"), 1.0], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("class", F.lit(1))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"class": F.lit(1), "key": F.lit(2), "tab": F.lit(3)})
     got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in embedding_dedup.near_duplicates(df).collect()}
     ok = [(i, np.array(v), lab) for i, v, lab in rows if i is not None and lab is not None and v and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links, parent = {i: 0 for i, _, _ in ok}, {i: i for i, _, _ in ok}
@@ -319,6 +319,27 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embeddings_of_crowded_buckets(spark, monkeypatch):
+    """Blocks that meet two by two give the links and components of whole buckets."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    r = np.random.default_rng(9)
+    base = r.normal(size=(3, 8))
+    v = base[np.arange(240) % 3] + r.normal(size=(240, 8)) * 0.12
+    df = spark.createDataFrame([(-i, [float(x) for x in v[i]], "x") for i in range(240)], "vec_id long, embedding array<double>, label string")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embedding_dedup.near_duplicates(df).collect()}
+    unit = v / np.sqrt((v * v).sum(axis=1))[:, None]
+    near = unit @ unit.T >= 0.98
+    reach = np.linalg.matrix_power(near.astype(float), 64) > 0
+    assert got == {-i: (int(near[i].sum()) - 1, -int(np.flatnonzero(reach[i]).max())) for i in range(240)}
+
+
+def test_embedding_labels_with_commas(spark):
+    """Neither a label that looks like numbers nor one that is a part of another links across labels."""
+    rows = [(1, [1.0, 2.0], "a"), (2, [2.0], "a,1.0"), (3, [1.0, 2.0], "a,"), (4, [1.0, 2.0], ""), (5, [1.0, 2.0], "a")]
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (1, 1), 2: (0, 2), 3: (0, 3), 4: (0, 4), 5: (1, 1)}
+
+
 def test_sharding(docs, none, spark, tmp_path):
     got = sharding.assign(docs, 2000).toPandas()
     sizes = got.groupby("shard").n_bytes.sum()

@@ -1,9 +1,10 @@
 """Embedding near-duplicates: sign hashing in several tables, exact cosine, connected components.
 
 Equal vectors of a label are one class from the start. Each class gets, for every table, the signs of its dot
-products with some random hyperplanes; classes that share a label and a table's signs meet. Full bit sketches
-rule out pairs far apart before any vector moves; the pairs left are joined with their vectors and compared in
-double precision. Crowded buckets are cut into blocks, and pairs of blocks meet in tasks of bounded size.
+products with some random hyperplanes; classes that share a label and a table's signs meet in a task with their
+vectors and are compared in double precision. A pair belongs to the first table that holds it, so a task counts
+its own pairs and sends a number a class and a forest of links, never the pairs. Crowded buckets are cut into
+blocks, and pairs of blocks meet in tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -22,27 +23,82 @@ from .store import bounded_batches, save
 COSINE = 0.98
 #: Chance to miss a pair right at the threshold, and the mean bucket size aimed at.
 MISS, CROWD = 1e-4, 8
-#: Classes of a bucket that meet in one task.
-BLOCK = 1024
+#: Classes of a bucket that meet in one task, at most twice, and rows of them that are compared at once.
+BLOCK, STEP = 2048, 128
 SEED = 20240131
+LEAST_LONG = -(1 << 63)
+
+MET = "a binary, b binary, n long"
 
 
 def plan(classes: int) -> tuple[int, int]:
     """(bits, tables): enough bits that buckets stay small, enough tables to find pairs at the threshold."""
-    bits = min(24, max(4, math.ceil(math.log2(max(classes, 2) / CROWD))))
+    bits = max(4, math.ceil(math.log2(max(classes, 2) / CROWD)))
     same = 1 - math.acos(COSINE) / math.pi
     return bits, math.ceil(math.log(MISS) / math.log(1 - same**bits))
 
 
-def _signs(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
+def _codes(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The signs of each vector in each table, as a number."""
     planes = np.random.default_rng(SEED + vectors.shape[1]).standard_normal((vectors.shape[1], bits * tables))
-    return (vectors @ planes > 0).reshape(len(vectors), tables, bits)
-
-
-def _most_apart(bits: int) -> int:
-    """Differing bits beyond which a pair at the threshold lies with a chance of less than one in a million."""
-    p = math.acos(COSINE) / math.pi
-    return math.ceil(bits * p + 5 * math.sqrt(bits * p * (1 - p)) + 1)
+    signs = (vectors @ planes > 0).reshape(len(vectors), tables, bits)
+    return signs @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def _key(least: Column, digest: Column) -> Column:
+    """24 bytes that sort by the least id, then by the digest: the least key of a component names it."""
+    number = F.hex(least.bitwiseXOR(F.lit(LEAST_LONG)))
+    return F.unhex(F.concat(F.lpad(number, 16, "0"), F.hex(digest)))
+
+
+def _least_of(key: Column) -> Column:
+    return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(LEAST_LONG))
+
+
+def linked(left: np.ndarray, right: np.ndarray, codes_left: np.ndarray, codes_right: np.ndarray, table: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of the rows of two blocks with a cosine of COSINE or more that no table before this one holds;
+    within one block (same) each pair once."""
+    norm_left, norm_right = (np.sqrt(np.einsum("ij,ij->i", x, x)) for x in (left, right))
+    for a in range(0, len(left), STEP):
+        cosine = left[a : a + STEP] @ right.T / (norm_left[a : a + STEP, None] * norm_right[None, :])
+        i, j = np.nonzero(cosine >= COSINE)
+        i += a
+        if same:
+            i, j = i[i < j], j[i < j]
+        own = codes_left[i, table] == codes_right[j, table]
+        i, j = i[own], j[own]
+        for t in range(table):
+            new = codes_left[i, t] != codes_right[j, t]
+            i, j = i[new], j[new]
+        if len(i):
+            yield i, j
+
+
+def _met(table: pa.Table, dtype: str) -> pa.Table:
+    """What two blocks of a bucket share: by class the number of linked vectors (a, null, n), and a forest of the
+    links (a, b, null)."""
+    table = table.combine_chunks()
+    lo, hi, t = (table.column(c)[0].as_py() for c in ("lo", "hi", "tab"))
+    keys, own = table.column("key").to_pylist(), np.array(table.column("own").to_pylist())
+    vectors = np.stack([np.frombuffer(x, dtype) for x in table.column("vector").to_pylist()]).astype(float)
+    codes = np.stack([np.frombuffer(x, np.int64) for x in table.column("codes").to_pylist()])
+    copies = np.array(table.column("copies").to_pylist(), float)
+    left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+    total, group, edges = np.zeros(len(keys)), np.arange(len(keys)), []
+    for x, y in linked(vectors[left], vectors[right], codes[left], codes[right], t, lo == hi):
+        i, j = left[x], right[y]
+        total += np.bincount(i, copies[j], len(keys)) + np.bincount(j, copies[i], len(keys))
+        for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1):  # i ascends
+            one, some = i[part[0]], j[part]
+            others, first = np.unique(group[some], return_index=True)
+            apart = others != group[one]
+            if apart.any():
+                edges += [(one, some[k]) for k in first[apart].tolist()]
+                group[np.isin(group, others)] = group[one]
+    n = np.flatnonzero(total)
+    a = [keys[k] for k in n.tolist()] + [keys[x] for x, _ in edges]
+    b = [None] * len(n) + [keys[y] for _, y in edges]
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "n": pa.array([*total[n].astype(np.int64).tolist(), *[None] * len(edges)], pa.int64())})
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -51,71 +107,43 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     lengths. Rows repeated with one id are linked with each other as any equal vectors are."""
     spark = vectors.sparkSession
     bounded_batches(spark)
+    dtype = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
     fit = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & fit, F.lit(False))
-    digest = F.sha2(F.concat_ws(",", F.col("label"), F.transform("v", lambda x: (x + 0.0).cast("string"))), 256)
-    rows = save(rows.withColumn("class", F.when(usable, F.substring(digest, 1, 32))), "vectors")
-    classes = save(rows.where("class is not null").groupBy("class").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")), "vector-classes")
+    # The label's length goes first, so that no label runs into the numbers.
+    digest = F.sha2(F.concat_ws(",", F.length("label").cast("string"), F.col("label"), F.transform("v", lambda x: (x + 0.0).cast("string"))), 256)
+    rows = save(rows.withColumn("class", F.when(usable, F.unhex(F.substring(digest, 1, 32)))), "vectors")
+    classes = rows.where("class is not null").groupBy("class").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
+    classes = save(classes.withColumn("key", _key(F.col("least"), F.col("class"))), "vector-classes")
     bits, tables = plan(classes.count())
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            key, label, vecs = (batch.column(c).to_pylist() for c in ("class", "label", "v"))
+            key, copies, label, vecs = (batch.column(c).to_pylist() for c in ("key", "copies", "label", "v"))
             for size in sorted({len(x) for x in vecs}):
                 i = [k for k, x in enumerate(vecs) if len(x) == size]
-                signs = _signs(np.array([vecs[k] for k in i]), bits, tables)
-                weight = 1 << np.arange(bits, dtype=np.int64)
-                codes = signs @ weight
-                sketches = np.packbits(signs.reshape(len(i), -1), axis=1)
-                for t in range(tables):
-                    names = [f"{label[k]}/{size}/{t}/{c}" for k, c in zip(i, codes[:, t].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([t] * len(i), pa.int32()), pa.array([key[k] for k in i]), pa.array([x.tobytes() for x in sketches], pa.binary())], names=["bucket", "tab", "class", "sketch"])
-
-    members = save(classes.mapInArrow(hashed, "bucket string, tab int, class string, sketch binary"), "signs")
+                own = np.array([vecs[k] for k in i])
+                codes = _codes(own, bits, tables)
+                buckets = [[xxhash.xxh3_128_digest(f"{label[k]}/{size}/{t}/{c}") for t, c in enumerate(row)] for k, row in zip(i, codes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([key[k] for k in i], pa.binary()), pa.array([copies[k] for k in i], pa.int64()), pa.array([x.astype(dtype).tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(buckets, pa.list_(pa.binary()))], names=["key", "copies", "vector", "codes", "buckets"])
+
+    signs = save(classes.select("key", "copies", "label", "v").mapInArrow(hashed, "key binary, copies long, vector binary, codes binary, buckets array<binary>"), "signs")
+    members = signs.select("key", F.posexplode("buckets").alias("tab", "bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = members.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    placed = members.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meets = meets.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    apart = _most_apart(bits * tables)
-
-    def close(table: pa.Table) -> pa.Table:
-        lo, hi, t = table.column("lo")[0].as_py(), table.column("hi")[0].as_py(), table.column("tab")[0].as_py()
-        keys, own = table.column("class").to_pylist(), np.array(table.column("own").to_pylist())
-        raw = np.array([np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()])
-        signs = np.unpackbits(raw, axis=1, count=bits * tables)
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        found: list[tuple[str, str]] = []
-        signed = signs.astype(np.float32) * 2 - 1
-        for part in np.array_split(left, max(1, len(left) // 256)):
-            far = (bits * tables - signed[part] @ signed[right].T) / 2
-            i, j = np.nonzero(far <= apart)
-            i, j = part[i], right[j]
-            keep = i < j if lo == hi else np.ones(len(i), bool)
-            i, j = i[keep], j[keep]
-            agree = (signs[i] == signs[j]).reshape(len(i), tables, bits).all(axis=2)
-            first = agree.argmax(axis=1) == t  # a pair is reported by the first table that holds it
-            found += [(min(keys[a], keys[b]), max(keys[a], keys[b])) for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True)]
-        return pa.table({"a": pa.array([x for x, _ in found], pa.string()), "b": pa.array([x for _, x in found], pa.string())})
-
-    pairs = save(meets.groupBy("bucket", "lo", "hi").applyInArrow(close, "a string, b string"), "close")
-    side = classes.select("class", "v", "copies")
-    both = pairs.join(side.select(F.col("class").alias("a"), F.col("v").alias("va"), F.col("copies").alias("ca")), "a").join(side.select(F.col("class").alias("b"), F.col("v").alias("vb"), F.col("copies").alias("cb")), "b")
-
-    def cosine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            va, vb = (batch.column(c).to_pylist() for c in ("va", "vb"))
-            value = np.array([np.dot(x, y) / (math.sqrt(np.dot(x, x)) * math.sqrt(np.dot(y, y))) for x, y in zip(map(np.array, va), map(np.array, vb), strict=True)])
-            yield batch.select(["a", "b", "ca", "cb"]).filter(pa.array(value >= COSINE))
-
-    links = save(both.select("a", "b", "ca", "cb", "va", "vb").mapInArrow(cosine, "a string, b string, ca long, cb long"), "vector-links")
-    group = components(links).withColumnRenamed("node", "class")
-    degree = links.select(F.col("a").alias("class"), F.col("cb").alias("n")).unionByName(links.select(F.col("b").alias("class"), F.col("ca").alias("n"))).groupBy("class").agg(F.sum("n").alias("linked"))
-    named = classes.select("class", "least", "copies").join(group, "class", "left").withColumn("component", F.coalesce("component", "class")).join(degree, "class", "left")
-    top = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    per_class = named.join(top, "component").select("class", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "component_id")
+    meets = meets.join(signs.select("key", "copies", "vector", "codes"), "key")
+    met = save(meets.select("bucket", "tab", "lo", "hi", "own", "key", "copies", "vector", "codes").groupBy("bucket", "lo", "hi").applyInArrow(lambda t: _met(t, dtype), MET), "vector-links")
+    group = components(met.where("b is not null").select("a", "b")).withColumnRenamed("node", "key")
+    degree = met.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("linked"))
+    per_class = classes.select("class", "key", "copies").join(group, "key", "left").join(degree, "key", "left")
+    per_class = per_class.select("class", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), _least_of(F.coalesce("component", "key")).alias("component_id"))
     out = rows.select("vec_id", "class").join(per_class, "class", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
