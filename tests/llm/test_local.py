@@ -8,7 +8,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm import licenses, near_dedup, packing, quality, substring_dedup, words
+from tidemark.llm import decontaminate, licenses, near_dedup, packing, quality, substring_dedup, words
 from tidemark.llm.queries import tokenizer_files
 
 
@@ -159,6 +159,51 @@ def test_cuts_are_optimal():
         assert abs(cost - best[total]) < 1e-9
 
 
+def _segment(texts):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([b"k"] * len(texts)), pa.array(texts)], names=["id", "key", "text"])
+    block = words.WordBlock(words.folded_words(t) for t in texts)
+    order = np.argsort(block.ids, kind="stable")
+    freqs = np.bincount(block.ids, minlength=len(block.terms))
+    gaps, first = np.diff(order, prepend=0), np.cumsum(freqs) - freqs
+    gaps[first] = order[first]
+    assert batch.num_rows == len(texts)
+    return {"doc_words": block.counts.tolist(), "terms": block.terms, "freqs": freqs.tolist(), "postings": words.pack_varints(gaps)}
+
+
+def test_phrases_of_intersected_lists():
+    """Every occurrence of every window, against plain comparison."""
+    r = random.Random(7)
+    for _ in range(150):
+        letters = [f"t{x}" for x in range(r.choice([1, 2, 4, 12]))]
+        texts = [" ".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(r.randint(1, 4))]
+        items = [(str(k), " ".join(r.choice(letters) for _ in range(r.randint(0, 20))).encode().split()) for k in range(r.randint(0, 5))]
+        items += [(None, items[0][1])] if items else []
+        for text in texts[:2]:
+            w = text.encode().split()
+            items.append(("cut", w[3 : r.randint(3, 30)]))
+        win = decontaminate.Windows(items)
+        seg = decontaminate.Segment(_segment(texts), {w: i for i, w in enumerate(win.words)})
+        got = sorted((int(at), win.items(int(x))) for ws, ats in decontaminate.phrase_starts(seg, win, 64) for x, at in zip(ws, ats, strict=True))
+        want, base = [], 0
+        of = {}
+        for name, w in items:
+            for k in range(max(1, len(w) - 12) if w else 0):
+                of.setdefault(tuple(w[k : k + 13]), set()).update([] if name is None else [name])
+        for text in texts:
+            w = text.encode().split()
+            want += [(base + i, sorted(names)) for x, names in of.items() for i in range(len(w) - len(x) + 1) if tuple(w[i : i + len(x)]) == x]
+            base += len(w)
+        assert sorted((a, sorted(set(n))) for a, n in got) == sorted(want)
+
+
+def test_windows_are_small():
+    """A block of windows takes some 110 bytes a window, and an item's name is told however often it occurs."""
+    win = decontaminate.Windows((str(k), f"a{k} b{k % 7} c d e f g h i j k l m n o".encode().split()) for k in range(2000))
+    size = sum(x.nbytes for x in (win.terms, win.lengths, win.item_of, win.item_at, win.filed, win.filed_at))
+    assert len(win.terms) == 2000 + 7 + 1 and size < 120 * len(win.terms)
+    assert len(win.items(int(np.flatnonzero(win.item_at[1:] - win.item_at[:-1] == 2000)[0]))) == 2000
+
+
 def test_best_cut():
     good, bad = np.linspace(0.1, 1, 100), np.linspace(-1, 0, 50)
     assert 0 <= quality.best_cut(good, bad) <= 0.1

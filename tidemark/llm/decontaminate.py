@@ -2,13 +2,15 @@
 
 The index is cut by document, as search engines cut theirs: a row is a segment of a bounded number of words
 with its terms and, by term, the delta-coded positions. Segments are built and searched where their
-documents lie, so no posting is shuffled and a hot source or term only adds to its own segments. A search
-starts from the rarest term of each benchmark window and intersects the other terms' positions, moved by
-their offset in the window.
+documents lie, so no posting is shuffled and a hot source or term only adds to its own segments. Benchmark windows
+are filed under their rarest term in the benchmark, so a segment looks only at windows whose rarest term it holds;
+of these it intersects the position lists of the terms, moved by their offset in the window, from the one that is
+rarest in the segment on.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,12 +24,12 @@ from .words import WordBlock, blocks, folded_words, pack_varints, unpack_varints
 WINDOW = 13
 #: Share of hit words from which a document counts as contaminated: 1 in 20.
 ONE_IN = 20
-#: Text of the benchmark that one pass sends to the executors; a larger one is searched block by block.
-BLOCK_BYTES = 16 << 20
+#: Windows of the benchmark, of about 100 bytes, that one pass sends to the executors; a larger one is searched block by block.
+BLOCK_WINDOWS = 500_000
 SEGMENT_CHARS = 4 << 20
 
-INDEX = "segment long, doc_ids array<long>, doc_keys array<long>, doc_words array<long>, terms array<binary>, freqs array<int>, postings binary"
-FOUND = "doc_id long, row_key long, segment long, ordinal int, n_words long, hits binary, items array<string>"
+INDEX = "segment long, doc_ids array<long>, doc_keys array<binary>, doc_words array<long>, terms array<binary>, freqs array<int>, postings binary"
+FOUND = "doc_id long, row_key binary, segment long, ordinal int, n_words long, hits binary, items array<string>"
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,7 +43,7 @@ def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    schema = pa.schema([("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_keys", pa.list_(pa.int64())), ("doc_words", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())), ("freqs", pa.list_(pa.int32())), ("postings", pa.binary())])
+    schema = pa.schema([("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_keys", pa.list_(pa.binary())), ("doc_words", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())), ("freqs", pa.list_(pa.int32())), ("postings", pa.binary())])
     for n, rows in enumerate(blocks(batches, SEGMENT_CHARS)):
         block = WordBlock(folded_words(r[-1]) for r in rows)
         order = np.argsort(block.ids, kind="stable")
@@ -53,118 +55,163 @@ def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Windows:
-    """The distinct windows of some benchmark items, as rows of term numbers padded with -1."""
-
-    def __init__(self, items: Iterable[tuple[str, list[bytes]]], width: int = WINDOW):
-        self.vocab: dict[bytes, int] = {}
-        seen: dict[tuple, set[str]] = {}
+    """The distinct windows of some benchmark items as arrays: terms has a row of term numbers a window, padded with
+    -1; filed[filed_at[t] : filed_at[t + 1]] are the windows whose rarest term in the benchmark is t; the names of
+    window w's items are names[item_of[item_at[w] : item_at[w + 1]]]."""
+
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], width: int = WINDOW):
+        vocab: dict[bytes, int] = {}
+        rows, owners, names = [np.zeros((0, width), np.int32)], [np.zeros(0, np.int64)], []
+        uses = np.zeros(0, np.int64)
         for item, words in items:
-            ids = tuple(self.vocab.setdefault(w, len(self.vocab)) for w in words)
-            for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                seen.setdefault(ids[i : i + width], set()).update([] if item is None else [item])
-        self.items = [sorted(x) for x in seen.values()]
-        self.lengths = np.array([len(w) for w in seen], np.int64)
-        self.terms = np.full((len(seen), max(self.lengths, default=1)), -1, np.int32)
-        for i, w in enumerate(seen):
-            self.terms[i, : len(w)] = w
+            ids = np.array([vocab.setdefault(w, len(vocab)) for w in words], np.int32)
+            if not len(ids):
+                continue
+            uses = np.bincount(ids, minlength=len(vocab)) + np.pad(uses, (0, len(vocab) - len(uses)))
+            own = np.lib.stride_tricks.sliding_window_view(ids, width) if len(ids) >= width else np.pad(ids, (0, width - len(ids)), constant_values=-1)[None, :]
+            rows.append(own)
+            owners.append(np.full(len(own), len(names) if item is not None else -1))
+            names += [] if item is None else [item]
+        self.words = list(vocab)
+        self.names = names
+        self.terms, of = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.lengths = (self.terms >= 0).sum(axis=1)
+        pairs = np.unique(np.stack([of.ravel(), np.concatenate(owners)], axis=1), axis=0)
+        pairs = pairs[pairs[:, 1] >= 0]
+        self.item_of, self.item_at = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.terms) + 1))
+        cost = np.where(self.terms >= 0, np.append(uses, 0)[self.terms], np.iinfo(np.int64).max)
+        rarest = self.terms[np.arange(len(self.terms)), cost.argmin(axis=1)] if len(self.terms) else np.zeros(0, np.int32)
+        self.filed = np.argsort(rarest, kind="stable")
+        self.filed_at = np.searchsorted(rarest[self.filed], np.arange(len(self.words) + 1))
+
+    def items(self, window: int) -> list[str]:
+        return [self.names[k] for k in self.item_of[self.item_at[window] : self.item_at[window + 1]].tolist()]
+
+    def under(self, terms: np.ndarray) -> np.ndarray:
+        """The windows that are filed under the terms."""
+        return self.filed[_ranges(self.filed_at[terms], self.filed_at[terms + 1] - self.filed_at[terms])]
+
+
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ..., sizes[0] of them, then those from first[1] on, and so forth."""
+    return np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
 
 
 class Segment:
-    """A segment as a search sees it: the positions of the searched terms, and the term at each position."""
+    """A segment as a search sees it: the position lists of the terms that the benchmark has, end to end by term
+    (term t's are positions[first[t] : first[t] + freq[t]]), and term * size + position of each in order."""
 
     def __init__(self, row: dict, vocab: dict[bytes, int]):
         self.counts = np.array(row["doc_words"], np.int64)
         self.starts = np.cumsum(self.counts) - self.counts
-        size = int(self.counts.sum())
+        self.size = int(self.counts.sum())
         freqs = np.array(row["freqs"], np.int64)
         gaps = unpack_varints(row["postings"])
         first = np.cumsum(freqs) - freqs
         run = np.cumsum(gaps)
-        positions = run - np.repeat(run[first] - gaps[first], freqs) if size else gaps
-        known = np.fromiter((vocab.get(t, -1) for t in row["terms"]), np.int32, len(freqs))
-        self.at = np.full(size, -1, np.int32)
-        self.at[positions] = np.repeat(known, freqs)
-        self.freq = np.zeros(len(vocab) + 1, np.int64)  # the last for padding
-        self.first = np.zeros(len(vocab) + 1, np.int64)
-        has = known >= 0
-        self.freq[known[has]], self.first[known[has]] = freqs[has], first[has]
-        self.positions, self.size = positions, size
+        positions = run - np.repeat(run[first] - gaps[first], freqs) if self.size else gaps
+        known = np.fromiter((vocab.get(t, -1) for t in row["terms"]), np.int64, len(freqs))
+        has = np.flatnonzero(known >= 0)
+        has = has[np.argsort(known[has])]
+        self.terms, sizes = known[has], freqs[has]
+        self.positions = positions[_ranges(first[has], sizes)] if len(has) else np.zeros(0, np.int64)
+        self.freq, self.first = np.zeros(len(vocab) + 1, np.int64), np.zeros(len(vocab) + 1, np.int64)
+        self.freq[self.terms], self.first[self.terms] = sizes, np.cumsum(sizes) - sizes
+        self.placed = np.repeat(self.terms, sizes) * self.size + self.positions
         self.owner = np.repeat(np.arange(len(self.counts)), self.counts)
 
+    def holds(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """Whether each position is in its term's list."""
+        wanted = term * self.size + position
+        at = np.searchsorted(self.placed, wanted)
+        return self.placed[np.minimum(at, len(self.placed) - 1)] == wanted
+
 
 def phrase_starts(seg: Segment, win: Windows, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(windows, positions): every occurrence of every window within one document of the segment."""
-    freq = np.where(win.terms >= 0, seg.freq[win.terms], np.iinfo(np.int64).max)
-    alive = np.flatnonzero(freq.min(axis=1, initial=np.iinfo(np.int64).max) > 0) if len(freq) else np.zeros(0, np.int64)
-    rarest = np.argsort(freq[alive], axis=1, kind="stable")
-    load = freq[alive, rarest[:, 0]] if len(alive) else np.zeros(0, np.int64)
-    cuts = np.flatnonzero(np.diff(np.cumsum(load) // chunk, prepend=0)) if len(alive) else []
-    for part in np.split(np.arange(len(alive)), cuts):
-        if not len(part):
+    near = win.under(seg.terms)
+    for some in np.array_split(near, max(1, len(near) * WINDOW // chunk)):
+        freq = np.where(win.terms[some] >= 0, seg.freq[win.terms[some]], np.iinfo(np.int64).max)
+        alive = np.flatnonzero(freq.min(axis=1, initial=np.iinfo(np.int64).max) > 0)
+        if not len(alive):
             continue
-        w, order, n = alive[part], rarest[part], load[part]
-        anchor = win.terms[w, order[:, 0]]
-        of = np.repeat(np.arange(len(part)), n)
-        within = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        start = seg.positions[seg.first[anchor][of] + within] - order[of, 0]
-        fits = (start >= 0) & (start + win.lengths[w][of] <= seg.size)
-        of, start = of[fits], start[fits]
-        for k in range(1, win.terms.shape[1]):
-            offset = order[of, k]
-            term = win.terms[w[of], offset]
-            same = (term < 0) | (seg.at[np.where(term < 0, 0, start + offset)] == term)
-            of, start = of[same], start[same]
-        one = seg.owner[start] == seg.owner[start + win.lengths[w][of] - 1]
-        yield w[of[one]], start[one]
-
-
-def near_docs(seg: Segment, win: Windows, slop: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(window, positions of its rarest term): where each other term stands within `slop` words of it in
+        some, freq = some[alive], freq[alive]
+        rarest = np.argsort(freq, axis=1, kind="stable")
+        load = freq[np.arange(len(some)), rarest[:, 0]]
+        cuts = np.flatnonzero(np.diff(np.cumsum(load) // chunk, prepend=0))
+        for part in np.split(np.arange(len(some)), cuts):
+            if len(part):
+                yield _intersected(seg, win, some[part], rarest[part], load[part])
+
+
+def _intersected(seg: Segment, win: Windows, w: np.ndarray, order: np.ndarray, load: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    anchor = win.terms[w, order[:, 0]]
+    of = np.repeat(np.arange(len(w)), load)
+    start = seg.positions[_ranges(seg.first[anchor], load)] - order[of, 0]
+    fits = (start >= 0) & (start + win.lengths[w][of] <= seg.size)
+    of, start = of[fits], start[fits]
+    for k in range(1, order.shape[1]):
+        offset = order[of, k]
+        term = win.terms[w[of], offset].astype(np.int64)
+        same = term < 0
+        same[~same] = seg.holds(term[~same], (start + offset)[~same])
+        of, start = of[same], start[same]
+    one = seg.owner[start] == seg.owner[start + win.lengths[w][of] - 1]
+    return w[of[one]], start[one]
+
+
+def near_docs(seg: Segment, win: Windows, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(windows, positions of their rarest term): where each other term stands within `slop` words of it in
     the same document, in any order."""
-    for w in range(len(win.items)):
+    for w in win.under(seg.terms).tolist():
         terms = np.unique(win.terms[w, : win.lengths[w]])
         terms = terms[np.argsort(seg.freq[terms], kind="stable")]
-        if not seg.freq[terms[0]]:
-            continue
-        at = np.sort(seg.positions[seg.first[terms[0]] :][: seg.freq[terms[0]]])
+        at = seg.positions[seg.first[terms[0]] :][: seg.freq[terms[0]]]
         for t in terms[1:]:
             own = seg.positions[seg.first[t] :][: seg.freq[t]]
             lo = np.maximum(at - slop, seg.starts[seg.owner[at]])
             hi = np.minimum(at + slop, seg.starts[seg.owner[at]] + seg.counts[seg.owner[at]] - 1)
             at = at[np.searchsorted(own, hi, "right") > np.searchsorted(own, lo, "left")]
         if len(at):
-            yield w, at
+            yield np.full(len(at), w), at
 
 
-def _benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The benchmark in blocks of a checked size, each read alone."""
+def _benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Windows]:
+    """The benchmark's windows in blocks of a bounded number, at least one block; an item beyond it is cut into
+    pieces that overlap by a window less a word. The driver holds a block at a time."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    size = items.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + size // BLOCK_BYTES
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r.item, folded_words(r.text)) for r in part.toLocalIterator()]
-
-
-def _search(index: DataFrame, items: list, slop: int | None) -> DataFrame:
-    shared = index.sparkSession.sparkContext.broadcast(items)
+    block: list[tuple[str | None, list[bytes]]] = []
+    n, none = 0, True
+    for r in items.toLocalIterator():
+        words = folded_words(r.text)
+        for a in range(0, max(1, len(words) - WINDOW + 1), BLOCK_WINDOWS):
+            block.append((r.item, words[a : a + BLOCK_WINDOWS + WINDOW - 1]))
+            n += min(BLOCK_WINDOWS, max(1, len(words) - WINDOW + 1 - a))
+            if n >= BLOCK_WINDOWS:
+                yield Windows(block)
+                block, n, none = [], 0, False
+    if block or none:
+        yield Windows(block)
+
+
+def _search(index: DataFrame, shared, slop: int | None) -> DataFrame:
     names = [x.split()[0] for x in FOUND.split(", ")]
-    schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.string())], strict=True)))
+    schema = pa.schema(list(zip(names, [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.string())], strict=True)))
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        win = Windows(shared.value)
+        win = shared.value
+        vocab = {w: i for i, w in enumerate(win.words)}
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {k: batch.column(k)[i].as_py() for k in batch.schema.names}
-                seg = Segment(row, win.vocab)
+                seg = Segment(row, vocab)
                 edge = np.zeros(seg.size + 1, np.int64)
                 of_doc: dict[int, set[str]] = {}
-                found = phrase_starts(seg, win) if slop is None else ((np.full(len(at), w), at) for w, at in near_docs(seg, win, slop))
-                for w, at in found:
+                for w, at in phrase_starts(seg, win) if slop is None else near_docs(seg, win, slop):
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + (win.lengths[w] if slop is None else 1), -1)
                     for d, x in set(zip(seg.owner[at].tolist(), w.tolist(), strict=True)):
-                        of_doc.setdefault(d, set()).update(win.items[x])
+                        of_doc.setdefault(d, set()).update(win.items(x))
                 hit = np.cumsum(edge[:-1]) > 0
                 n = len(seg.counts)
                 bits = [np.packbits(hit[a : a + c]).tobytes() if d in of_doc else b"" for d, (a, c) in enumerate(zip(seg.starts.tolist(), seg.counts.tolist(), strict=True))]
@@ -177,13 +224,21 @@ def _search(index: DataFrame, items: list, slop: int | None) -> DataFrame:
 def matches(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", slop: int | None = None) -> DataFrame:
     """One row per indexed document: doc_id, row_key, n_words, hits (a bit per word), items (ids of the items
     found, as strings). slop None: exact phrases of 13 words. A number: proximity, that is every term of a
-    window within that many words of its rarest term. Items without an id count for hits but aren't listed. An empty benchmark finds nothing."""
-    parts = [_search(index, items, slop) for items in _benchmark_blocks(benchmark, item_col, text_col)]
-    if len(parts) == 1:
-        return parts[0].drop("segment", "ordinal")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    window within that many words of its rarest term. Items without an id count for hits but aren't listed. An empty benchmark
+    finds nothing."""
+    context = index.sparkSession.sparkContext
+    blocks = _benchmark_blocks(benchmark, item_col, text_col)
+    shared = context.broadcast(next(blocks))
+    every = _search(index, shared, slop)
+    second = next(blocks, None)
+    if second is None:
+        return every.drop("segment", "ordinal")
+    every = save(every, "block")
+    shared.destroy()
+    for win in itertools.chain([second], blocks):
+        shared = context.broadcast(win)
+        every = every.unionByName(save(_search(index, shared, slop).where(F.length("hits") > 0), "block"))
+        shared.destroy()
     merged = every.groupBy("segment", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("row_key").alias("row_key"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("all_hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     @F.pandas_udf("binary")

@@ -38,7 +38,7 @@ BLOCK, BLOCK_BYTES = 1024, 32 << 20
 #: Words of texts whose shingles a worker keeps for the next pairs.
 KEPT_WORDS = 2_000_000
 
-SKETCHED = "doc_id long, row_key long, n_words long, shingles long, digest binary, sketches array<long>"
+SKETCHED = "doc_id long, row_key binary, n_words long, shingles long, digest binary, sketches array<long>"
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -107,7 +107,7 @@ def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((row[0], row[1], n, max(n - SHINGLE + 1, min(n, 1)), digest, got.view(np.int64)))
         cols = list(zip(*out, strict=True))
         sizes = np.cumsum([0, *map(len, cols[5])]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(cols[5])))], names=[x.split()[0] for x in SKETCHED.split(", ")])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols[:5], (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)), pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(cols[5])))], names=[x.split()[0] for x in SKETCHED.split(", ")])
 
 
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:

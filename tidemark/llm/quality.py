@@ -1,19 +1,20 @@
 """Quality selection by importance resampling.
 
 Two generative models over hashed word and punctuation n-grams (singles and pairs) are counted: one of target
-text, one of all raw text. A document's importance is the log ratio of the two, summed over its n-grams, less
-what the calibrated cut allows a text of its length, plus the log odds of good labels (so that a text too short
-to tell goes with the majority). Gumbel noise on these weights and an exact top-k choose the
-sample; k is the number of documents with a positive weight.
+text, one of all raw text. A document's log importance weight is log p_target - log p_raw, summed over its n-grams.
+Standard Gumbel noise on these weights and an exact top-k draw the sample, without replacement and in proportion to
+the weights. k is a share of the documents: a parameter, or else the share of labelled documents of good quality,
+taken two standard errors high.
 
 Toxic documents may be well written, so a model of their own finds them: words and word prefixes that more
 labelled toxic than other labelled documents hold are weighed by the lower bound of the log ratio of these shares.
 A document's toxicity is the sum of its STRONGEST heaviest words, so that a few insults count in a long text too,
-and documents above a cut of its own calibration are rejected whatever their weight.
+and documents above a calibrated cut are taken out of the sample whatever their weight.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -22,24 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import ROW_KEY, bounded_batches, row_key, save
+from .store import ROW_KEY, bounded_batches, row_key, save, temporary
 from .words import WordBlock, blocks, mix
 
 BUCKETS = 1 << 15
-#: Labelled rows that fit the target model (even ones by hash) and the cut (odd ones), at most.
+#: Labelled rows that fit the models, at most; of the toxic model even ones by hash fit the weights, odd ones the cut.
 LABELLED = 20_000
-#: Lost target documents weigh so much more than kept others when the cut is chosen.
+#: Lost clean documents weigh so much more than kept toxic ones when the cut is chosen.
 LOSS = 10.0
-#: Scale of the Gumbel noise against the log weights, and its seed.
-TEMPERATURE, SEED = 0.05, 20240131
-#: Bound on each log ratio: one rare n-gram doesn't decide.
-CLIP = 6.0
+#: Seed of the Gumbel noise, and standard errors that the share of good labels is raised by.
+SEED, RAISED = 20240131, 2.0
 
 #: Toxic words: buckets of their hashes, lengths of prefixes in characters, standard errors that a log ratio is
 #: lowered by, and words that make up a document's toxicity.
 TOXIC_BUCKETS, PREFIXES, ERRORS, STRONGEST = 1 << 18, range(4, 9), 1.0, 3
 
-SCORED = "doc_id long, row_key long, label int, toxic int, fold int, n_grams long, ratio double, toxicity double"
+SCORED = "doc_id long, row_key binary, toxic int, fold int, n_grams long, log_weight double, toxicity double"
 _GRAM = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -88,10 +87,10 @@ def toxicity(block: WordBlock, table: np.ndarray) -> np.ndarray:
 
 
 def _labelled(labels: DataFrame, limit: int) -> DataFrame:
-    """doc_id, label (1: good and not toxic), toxic, fold of a fixed sample of the labels; a doc_id once."""
+    """doc_id, label (1: good and not toxic), toxic, good (of good quality), fold of a fixed sample of the labels; a doc_id once."""
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
-    rows = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.when(good, 1).otherwise(0)).alias("label"), F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
-    return rows.withColumn("h", F.xxhash64("doc_id", F.lit(SEED))).orderBy("h", "doc_id").limit(limit).select("doc_id", "label", "toxic", F.pmod("h", F.lit(2)).cast("int").alias("fold"))
+    rows = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.when(good, 1).otherwise(0)).alias("label"), F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"), F.min(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"))
+    return rows.withColumn("h", F.xxhash64("doc_id", F.lit(SEED))).orderBy("h", "doc_id").limit(limit).select("doc_id", "label", "toxic", "good", F.pmod("h", F.lit(2)).cast("int").alias("fold"))
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,15 +98,16 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in blocks(batches, 2 << 20):
         buckets, starts = grams(split([r[-1] for r in rows]))
         total[0] += np.bincount(buckets, minlength=BUCKETS)
-        for k, (_, _, label, _, fold, _) in enumerate(rows):
-            if label == 1 and fold == 0:
+        for k, (_, _, label, _, _, _) in enumerate(rows):
+            if label == 1:
                 total[1] += np.bincount(buckets[starts[k] : starts[k + 1]], minlength=BUCKETS)
     model, bucket = np.nonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(model.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[model, bucket])], names=["model", "bucket", "n"])
 
 
 def log_ratios(rows: DataFrame) -> np.ndarray:
-    """log p_target - log p_raw of each bucket, smoothed; the two count vectors are all that reaches the driver."""
+    """log p_target - log p_raw of each bucket, half a count added to each; the two count vectors are all that
+    reaches the driver. All 0 without target text."""
     counted = rows.mapInArrow(_counts, "model int, bucket int, n long").groupBy("model", "bucket").agg(F.sum("n").alias("n"))
     total = np.zeros((2, BUCKETS))
     for r in counted.toLocalIterator():
@@ -115,7 +115,7 @@ def log_ratios(rows: DataFrame) -> np.ndarray:
     raw, target = ((x + 0.5) / (x.sum() + 0.5 * BUCKETS) for x in total)
     if not total[1].sum():
         return np.zeros(BUCKETS)
-    return np.clip(np.log(target / raw), -CLIP, CLIP)
+    return np.log(target / raw)
 
 
 def _mark_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,13 +180,22 @@ def kth_largest(df: DataFrame, col: str, k: int, small: int = 2000) -> float:
             return values[k - above - 1]
 
 
-def select(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, temperature: float = TEMPERATURE) -> DataFrame:
-    """doc_id, row_key, n_grams, log_weight, marked (toxic), key, selected, a row per input row. Toxic ones aren't selected. Texts without n-grams (null,
-    empty) have no weight and aren't selected. Rows equal in doc_id and content share their noise, so they stay
-    or go together. Without good labelled documents every document with n-grams is selected."""
+def good_share(sample: DataFrame) -> float:
+    """The share of good quality among labelled documents, RAISED standard errors high; 1 without labels."""
+    n, p = sample.agg(F.count(F.lit(1)), F.avg("good")).first()
+    return min(1.0, p + RAISED * (p * (1 - p) / n) ** 0.5) if n else 1.0
+
+
+def select(docs: DataFrame, labels: DataFrame, share: float | None = None, labelled: int = LABELLED) -> DataFrame:
+    """doc_id, row_key, n_grams, log_weight, key (the weight and its noise), marked (toxic), selected, a row per input
+    row. The k = share * n documents of the highest keys are drawn, of n with n-grams; toxic ones are taken out of
+    them. Texts without n-grams (null, empty) have no weight and aren't selected. Rows equal in doc_id and content
+    share their noise, so they stay or go together. Without good labelled documents all weights are 0."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    sample = F.broadcast(_labelled(labels, labelled))  # at most `labelled` rows of two integers
+    sample = save(_labelled(labels, labelled), "labelled")
+    share = good_share(sample) if share is None else share
+    sample = F.broadcast(sample)  # at most `labelled` rows of five integers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("string").alias("text")).join(sample, "doc_id", "left").select("doc_id", "row_key", "label", "toxic", "fold", "text")
     ratio = spark.sparkContext.broadcast(log_ratios(rows).tolist())
     heavy = toxic_weights(rows)
@@ -199,26 +208,25 @@ def select(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, tempera
             block = split([r[-1] for r in part])
             buckets, starts = grams(block)
             run = np.concatenate([[0.0], np.cumsum(table[buckets])])
-            cols = list(zip(*(r[:5] for r in part), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(np.diff(starts)), pa.array(run[starts[1:]] - run[starts[:-1]]), pa.array(toxicity(block, toxic))], names=[x.split()[0] for x in SCORED.split(", ")])
+            ids, keys, _, is_toxic, fold = zip(*(r[:5] for r in part), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(is_toxic, pa.int32()), pa.array(fold, pa.int32()), pa.array(np.diff(starts)), pa.array(run[starts[1:]] - run[starts[:-1]]), pa.array(toxicity(block, toxic))], names=[x.split()[0] for x in SCORED.split(", ")])
 
     scored = save(rows.mapInArrow(score, SCORED), "importance")
-    held = scored.where("fold = 1 and n_grams > 0").select("label", "toxic", "toxicity", (F.col("ratio") / F.col("n_grams")).alias("s")).limit(2 * labelled).toPandas()
-    cut = best_cut(held.s[held.label == 1].to_numpy(), held.s[held.label == 0].to_numpy())
+    held = scored.where("fold = 1 and n_grams > 0").select("toxic", "toxicity").limit(2 * labelled).toPandas()
     # Of each document's negative toxicity, as best_cut() rejects what is below; without toxic ones to learn from nothing.
     safe = best_cut(-held.toxicity[held.toxic == 0].to_numpy(), -held.toxicity[held.toxic == 1].to_numpy()) if (held.toxic == 1).any() and heavy.any() else -np.inf
-    odds = float(np.log((held.label == 1).sum() + 1) - np.log((held.label == 0).sum() + 1))
-    weight = F.when(F.col("n_grams") == 0, F.lit(None)).otherwise(F.col("ratio") - F.lit(cut) * F.col("n_grams") + F.lit(odds) if np.isfinite(cut) else F.lit(1.0)).cast("double")
+    weight = F.when(F.col("n_grams") > 0, F.col("log_weight"))
     uniform = (F.pmod(F.xxhash64("row_key", F.lit(SEED)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keyed = save(scored.select("doc_id", "row_key", "n_grams", weight.alias("log_weight"), (-F.col("toxicity") < F.lit(safe)).alias("marked")).withColumn("key", F.col("log_weight") - temperature * F.log(-F.log(uniform))), "keys")
-    k = keyed.where("log_weight > 0 and not marked").count()
+    keyed = save(scored.select("doc_id", "row_key", "n_grams", weight.alias("log_weight"), (weight - F.log(-F.log(uniform))).alias("key"), (-F.col("toxicity") < F.lit(safe)).alias("marked")), "keys")
+    k = math.ceil(share * keyed.where("key is not null").count())
     if not k:
         return keyed.withColumn("selected", F.lit(False))
-    least = kth_largest(keyed.where("key is not null and not marked"), "key", k)
+    least = kth_largest(keyed.where("key is not null"), "key", k)
     return keyed.withColumn("selected", F.coalesce((F.col("key") >= F.lit(least)) & ~F.col("marked"), F.lit(False)))
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The selected documents, with all their columns."""
-    rejected = select(docs, labels).where("not selected").select(F.col("row_key").alias(ROW_KEY)).distinct()
+    with temporary(docs.sparkSession):
+        rejected = save(select(docs, labels).where("not selected").select(F.col("row_key").alias(ROW_KEY)).distinct(), "rejected", keep=True)
     return docs.withColumn(ROW_KEY, row_key()).join(rejected, ROW_KEY, "left_anti").drop(ROW_KEY)

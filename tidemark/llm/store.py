@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW_KEY = "__row_key"
@@ -56,9 +56,10 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text"):
-    """A key from a row's content: the same after any retry, equal only for repeated rows."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """128 bits of a row's content: the same after any retry, equal only for repeated rows."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in (id_col, text_col)]
+    return F.unhex(F.md5(F.concat_ws("\x1f", *parts)))
 
 
 def partitions(spark: SparkSession) -> int:
