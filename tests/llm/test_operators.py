@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 
 import duckdb
@@ -71,9 +72,10 @@ def test_benchmark_items_without_id(docs, spark):
 
 def test_decontamination_in_blocks(docs, benchmark, monkeypatch):
     whole = decontaminate.contamination(docs, benchmark).select("doc_id", "n_words", "n_hit", "items").collect()
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
-    split = decontaminate.contamination(docs, benchmark).select("doc_id", "n_words", "n_hit", "items").collect()
-    assert sorted(map(str, whole)) == sorted(map(str, split))
+    for n in (1, 3):  # the longer item is cut into several blocks
+        monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", n)
+        split = decontaminate.contamination(docs, benchmark).select("doc_id", "n_words", "n_hit", "items").collect()
+        assert sorted(map(str, whole)) == sorted(map(str, split))
 
 
 def test_proximity(docs, benchmark):
@@ -122,7 +124,7 @@ TRICKY = ["a@b.c_x@d.e.f", "é 1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4", "4111-1111
 
 def test_personal_data(spark, docs, none):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([*TRICKY, *(t for _, t in texts())])], "doc_id long, text string")
-    for r in df.select("text", pii.written("base").alias("w")).collect() if False else df.withColumn("base", pii.base_spans(F.col("text"))).select("text", pii.written("base").alias("w")).collect():
+    for r in df.withColumn("base", pii.base_spans(F.col("text"))).select("text", pii.written("base").alias("w")).collect():
         assert r.w == personal(r.text), r.text[:80]
     assert pii.find(none).count() == 0
     clean = {r.doc_id: r.text for r in pii.redact(docs).collect() if r.doc_id in (4, 5, 9)}
@@ -131,17 +133,32 @@ def test_personal_data(spark, docs, none):
     assert out.columns == docs.columns and out.count() == len(ROWS)
 
 
-def test_contexts_are_learned(spark):
-    rows = [(i, f"some words here {w} contact: user{i}@mail.example.com and more") for i, w in enumerate(W[:30])]
-    rows += [(100 + i, f"they said please contact: handle_{i}x soon") for i in range(10)]
+def contexts(spark, rows):
+    """The found spans by doc_id, of texts whose base spans are left out."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    of = {}
+    for r in pii.find(df).select("doc_id", F.expr("filter(spans, s -> s.rank = 4)").alias("s")).collect():
+        for s in r.s:
+            of.setdefault(r.doc_id, []).append((s.start, s.end))
+    return of
+
+
+@pytest.mark.parametrize("more", [0, 400, 4000])
+def test_contexts_are_learned(spark, more):
+    """The same spans however many unrelated documents and seeds there are."""
+    rows = [(i, f"some words here {w} my contact: user{i}@mail.example.com and more") for i, w in enumerate(W[:30])]
+    rows += [(100 + i, f"they said please my contact: handle_{i}x soon") for i in range(10)]
     rows += [(200 + i, f"of the year 19{i:02d} and of the town") for i in range(60)]
     rows += [(300 + i, f"of the a{i}@b.cd") for i in range(6)]
-    # `here contact:` differs by word; the shared pattern is what stands before: two words.
-    rows = [(i, t.replace(" contact:", " my contact:")) for i, t in rows]
-    spans = {r.doc_id: r.s for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.written("spans").alias("s")).collect()}
-    start = rows[30][1].index("handle_0x")
-    assert spans[100] == f"context:{start}:{start + 9}"
-    assert all(not spans[200 + i] for i in range(60))
+    # The handles that the first round finds stand before `reach me`, which no fixed kind ever follows.
+    rows += [(400 + i, f"reach\tme  via handle_{i}x.") for i in range(10)] + [(450, "reach me via newcomer7 or\n line 24")]
+    # At a text's start, and after another identifier.
+    rows += [(500 + i, f"id w{i}@x.example.org 2024 w{i}@y.example.org") for i in range(8)] + [(550, "id own_5 and w1@z.example.org 1999 own_6")]
+    rows += [(1000 + i, f"see the page{i} word{i} u{i}@mail.example.com") for i in range(more)]
+    texts = dict(rows)
+    found = {i: [texts[i][a:b] for a, b in sorted(s)] for i, s in contexts(spark, rows).items()}
+    want = {100 + i: [f"handle_{i}x"] for i in range(10)} | {400 + i: [f"handle_{i}x"] for i in range(10)}
+    assert found == want | {450: ["newcomer7"], 550: ["own_5", "own_6"]}
 
 
 def test_contexts_of_a_large_corpus(spark, monkeypatch):
@@ -150,12 +167,12 @@ def test_contexts_of_a_large_corpus(spark, monkeypatch):
     rows += [(100, "write to rare contact: handle_7x soon"), (101, "write to rare contact: handle_7x soon")]
     rows += [(1000 + i, f"see the page{i} word{i} u{i}@mail.example.com") for i in range(12_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = df.withColumn(pii.ROW_KEY, F.col("doc_id"))
     for listed in (pii.LISTED_PATTERNS, 0):
         monkeypatch.setattr(pii, "LISTED_PATTERNS", listed)
-        _, patterns = pii.discover(df.withColumn(pii.ROW_KEY, F.col("doc_id")))
-        assert [(r.pattern, r.seeds, r.total) for r in patterns.collect()] == [("rare contact:", 8, 10)]
-    spans = {r.doc_id: r.s for r in pii.find(df).select("doc_id", pii.written("spans").alias("s")).where("doc_id in (100, 101)").collect()}
-    assert spans == {100: "context:23:32", 101: "context:23:32"}
+        _, patterns = pii.discover(pii.scan(keyed), keyed)
+        assert [(r.pattern, r.seeds, r.total) for r in patterns.where("pattern like '%contact:'").collect()] == [("rare contact:", 9, 10)]
+    assert contexts(spark, rows[:10]) == {100: [(23, 32)], 101: [(23, 32)]}
 
 
 def test_near_duplicates(docs, none, small):
@@ -217,25 +234,50 @@ def test_quality(docs, none, labels, spark):
     assert kept.columns == docs.columns
 
 
-def test_quality_accuracy(spark):
-    """Held out: labels that neither the model nor the cut has seen."""
-    d = "/root/testdata/sf0.01"
-    documents, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    seen = labels.where("doc_id % 3 <> 0")
-    found = quality.select(documents, seen).join(labels.where("doc_id % 3 = 0"), "doc_id").toPandas()
-    good, bad = found[(found.quality == 1) & (found.toxic == 0)], found[found.quality == 0]
-    assert good.selected.mean() > 0.97 and bad.selected.mean() < 0.2
+def test_importance_resampling(spark):
+    """Weights against plain counting, unit Gumbel noise, and the k greatest keys, which no cut of the weights gives."""
+    documents, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = quality.select(documents, labels, share=0.7).toPandas()
+    good = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()}
+    raw, target, of = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS), {}
+    for r in documents.collect():
+        of[r.doc_id] = x = quality.grams(quality.split([r.text]))[0]
+        raw += np.bincount(x, minlength=quality.BUCKETS)
+        target += np.bincount(x, minlength=quality.BUCKETS) * (r.doc_id in good)
+    ratio = np.log((target + 0.5) / (target.sum() + 0.5 * quality.BUCKETS)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * quality.BUCKETS))
+    some = got[got.n_grams > 0]
+    assert np.allclose(some.log_weight, [ratio[of[i]].sum() for i in some.doc_id], atol=1e-6)
+    noise = np.sort(some.key - some.log_weight)
+    below = np.exp(-np.exp(-noise))
+    assert np.abs(below - (np.arange(len(noise)) + 0.5) / len(noise)).max() < 1.63 / len(noise) ** 0.5  # Kolmogorov, 1 %
+    k = math.ceil(0.7 * len(some))
+    drawn = set(some.sort_values("key", ascending=False).doc_id[:k])
+    assert drawn - set(some.doc_id[some.marked]) == set(got.doc_id[got.selected])
+    assert drawn != set(some.sort_values("log_weight", ascending=False).doc_id[:k])
+
+
+def test_grams():
+    """The hashed n-grams are the words, marks and pairs of neighbours."""
+    block = quality.split(["A b, a", None, "b"])
+    buckets, starts = quality.grams(block)
+    assert starts.tolist() == [0, 7, 7, 8]
+    one = lambda *x: sorted(quality.grams(quality.split([" ".join(x)]))[0].tolist())
+    assert sorted(buckets[:7].tolist()) == one("a", "b", ",", "a") and buckets[7:].tolist() == one("b")
 
 
-def test_toxic_documents_go(spark):
-    """Held out, as above: toxic documents of good quality go, clean ones stay."""
+def test_quality_accuracy(spark):
+    """Held out: labels that the model hasn't seen."""
     d = "/root/testdata/sf0.1"
     documents, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     held = labels.where("doc_id % 3 = 0")
-    found = quality.select(documents.join(labels.select("doc_id"), "doc_id", "left_semi"), labels.where("doc_id % 3 <> 0")).join(held, "doc_id").toPandas()
-    toxic, clean = found[(found.quality == 1) & (found.toxic == 1)], found[(found.quality == 1) & (found.toxic == 0)]
-    assert (toxic.log_weight > 0).mean() > 0.9  # by their weight alone they would stay
-    assert toxic.selected.mean() < 0.25 and clean.selected.mean() > 0.98
+    found = quality.select(documents, labels.where("doc_id % 3 <> 0")).join(held, "doc_id").toPandas()
+    good, bad = found[(found.quality == 1) & (found.toxic == 0)], found[found.quality == 0]
+    print("good kept", good.selected.mean(), "bad kept", bad.selected.mean())
+    assert good.selected.mean() > 0.98 and bad.selected.mean() < 0.1
+    # Toxic documents of good quality go, though by their weight they would stay.
+    toxic = found[(found.quality == 1) & (found.toxic == 1)]
+    print("toxic kept", toxic.selected.mean())
+    assert (toxic.log_weight > good.log_weight.quantile(0.01)).mean() > 0.9 and toxic.selected.mean() < 0.25
 
 
 def test_kth_largest(spark):

@@ -1,17 +1,18 @@
 """Personal data: fixed patterns, then bootstrapped contextual extraction. DataFrame functions only.
 
 Identifiers that the fixed patterns find are seeds. The two words before an identifier-shaped token (one that
-holds a digit or @) are a lexical pattern. Patterns that stand before enough different seeds are scored on the
-graph of patterns and instances for some rounds: a pattern's confidence is the share of all its occurrences in
-the corpus, ordinary words after it included, that precede likely instances; an instance's score joins the
-confidences of its patterns. Tokens after confident patterns become further spans.
+holds a digit or @) are a lexical pattern, whatever they are: earlier identifiers count by their shape, and a text's
+start counts as a word. In each round, patterns that stand before enough different likely instances are scored on the
+graph of patterns and instances: a pattern's confidence is the share of all its occurrences in the corpus, ordinary
+words after it included, that precede likely instances; an instance's score joins the confidences of its patterns.
+Instances that one round finds induce further patterns in the next. Tokens after confident patterns become spans.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import ROW_KEY, row_key, save
@@ -26,39 +27,50 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
-#: Different seeds that a pattern must stand before, at every size of corpus; its least confidence; the scoring rounds.
+#: Different likely instances that a pattern must stand before, at every size of corpus; the least confidence of a
+#: pattern and score of an instance; the rounds.
 MIN_SEEDS, MIN_CONFIDENCE, ROUNDS = 5, 0.5, 3
 #: Rows of about 100 bytes up to which a checked table is broadcast.
 BROADCAST_ROWS = 50_000
 #: Patterns up to which their hashes are listed in the filter of the corpus's word pairs.
 LISTED_PATTERNS = 20_000
-#: Characters before a token in which its two pattern words must lie.
-REACH = 128
+#: The word that stands for a text's start.
+START = "^"
 SPAN = "struct<start:int,rank:int,end:int>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is evaluated once: lambdas evaluate what they take from outside for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _placed(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, gap, hit>> of all matches, by code points. Starts are summed within chunks
-    of 256 matches and over chunks, so that many matches don't cost their square."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), g.alias("gap"), m.alias("hit")))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / 256).cast("int")), lambda c: F.slice(pairs, c * 256 + 1, 256))
-    empty = F.array().cast("array<struct<start:int,end:int,gap:string,hit:string>>")
+    """array<struct<start, end, hit>> of all matches, by code points. Starts are summed within chunks of 256
+    matches and over chunks, so that many matches don't cost their square."""
+    kind = "array<struct<start:int,end:int,hit:string>>"
+
+    def entry(at: Column, x: Column) -> Column:
+        return F.struct((at + x["g"]).alias("start"), (at + x["g"] + x["n"]).alias("end"), x["hit"].alias("hit"))
 
     def within(chunk: Column) -> Column:
-        return F.aggregate(
-            chunk,
-            F.struct(F.lit(0).alias("at"), empty.alias("out")),
-            lambda acc, x: F.struct((acc["at"] + x["g"] + x["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["n"]).alias("end"), x["gap"].alias("gap"), x["hit"].alias("hit")))).alias("out")),
-        )
+        first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+        return F.aggregate(chunk, first, lambda acc, x: F.struct((acc["at"] + x["g"] + x["n"]).alias("at"), F.concat(acc["out"], F.array(entry(acc["at"], x))).alias("out")))
 
     def moved(acc: Column, part: Column) -> Column:
-        shifted = F.transform(part["out"], lambda x: F.struct((x["start"] + acc["at"]).alias("start"), (x["end"] + acc["at"]).alias("end"), x["gap"].alias("gap"), x["hit"].alias("hit")))
+        shifted = F.transform(part["out"], lambda x: F.struct((x["start"] + acc["at"]).alias("start"), (x["end"] + acc["at"]).alias("end"), x["hit"].alias("hit")))
         return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["out"], F.array(shifted)).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,gap:string,hit:string>>>").alias("out"))
-    return F.when(F.size(hits) == 0, empty).otherwise(F.flatten(F.aggregate(F.transform(chunks, within), zero, moved)["out"]))
+    def summed(pairs: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / 256).cast("int")), lambda c: within(F.slice(pairs, c * 256 + 1, 256)))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.when(F.size(pairs) == 0, F.array().cast(kind)).otherwise(F.flatten(F.aggregate(chunks, zero, moved)["out"]))
+
+    def measured(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
+        sizes = F.zip_with(gaps, hits, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), m.alias("hit")))
+        return F.when(F.size(hits) == 0, F.array().cast(kind)).otherwise(_let(sizes, summed))
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), measured)
 
 
 def _luhn(digits: Column) -> Column:
@@ -99,32 +111,67 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*every))
 
 
-def _words_before(gap: Column) -> Column:
-    """The two whole words that end the gap, in lower case, or null."""
-    tail = F.right(gap, F.lit(REACH))
-    words = F.split(F.regexp_replace(F.lower(tail), r"^\s+|\s+$", ""), r"\s+")
-    whole = (F.size(words) >= 3) | ((F.length(gap) <= REACH) & (F.size(words) == 2) & (F.get(words, F.lit(0)) != ""))
-    return F.when(whole & tail.rlike(r"\s$"), F.concat_ws(" ", F.slice(words, -2, 2)))
+def _last_two(gap: Column) -> Column:
+    """struct<first, second>: the last two words of the gap in lower case, empty where it has fewer."""
+
+    def cut(flat: Column) -> Column:
+        second = F.substring_index(flat, " ", -1)
+        return _let(F.rtrim(F.substring(flat, F.lit(1), F.length(flat) - F.length(second))), lambda rest: F.struct(F.lower(F.substring_index(rest, " ", -1)).alias("first"), F.lower(second).alias("second")))
+
+    return _let(F.rtrim(F.translate(gap, "\t\n\x0b\f\r", "     ")), cut)
+
+
+def _shape(text: Column) -> Column:
+    """The text in lower case, where a word with @ becomes @ and a run of digits 0."""
+    text = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, r"(?<!\S)[^\s@]*+@\S*+", "@")).otherwise(text)
+    return F.regexp_replace(F.lower(text), "[0-9]++", "0")
+
+
+def _tokens(text: Column) -> Column:
+    """array<struct<start, end, instance, pattern>> of the identifier-shaped tokens; pattern: the two words before."""
+
+    def of(s: Column) -> Column:
+        def pattern(i: Column) -> Column:
+            own, last = F.get(s["before"], i), F.get(s["before"], i - 1)
+            one, two = F.coalesce(F.get(s["shapes"], i - 1), F.lit(START)), F.coalesce(F.get(s["shapes"], i - 2), F.lit(START))
+            further = F.when(i == 0, F.lit(START)).when(last["second"] != "", last["second"]).otherwise(two)
+            return F.when(own["first"] != "", F.concat_ws(" ", own["first"], own["second"])).when(own["second"] != "", F.concat_ws(" ", one, own["second"])).when(i > 0, F.concat_ws(" ", further, one))
+
+        def token(t: Column, i: Column) -> Column:
+            return _let(F.regexp_replace(t["hit"], r"[.,;:!?]+$", ""), lambda x: F.struct(t["start"].alias("start"), (t["start"] + F.length(x)).alias("end"), x.alias("instance"), pattern(i).alias("pattern")))
+
+        return F.transform(s["placed"], token)
+
+    parts = _let(_placed(text, TOKEN), lambda p: F.struct(p.alias("placed"), F.transform(p, lambda t: _shape(t["hit"])).alias("shapes"), F.when(F.size(p) > 0, F.transform(F.split(text, TOKEN, -1), _last_two)).alias("before")))
+    return _let(parts, of)
 
 
-def _occurrences(docs: DataFrame, text_col: str) -> DataFrame:
-    """Identifier-shaped tokens after two words: key, pattern, instance, start, end, seed (kind or null)."""
+def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs, which have ROW_KEY, with base (the fixed kinds' spans) and tokens, as a written table."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.where(text.rlike("[0-9@]")).select(F.col(ROW_KEY).alias("key"), base_spans(text).alias("base"), _placed(text, TOKEN).alias("tokens"))
-    one = rows.select("key", "base", F.explode("tokens").alias("t")).select(
-        "key",
-        _words_before(F.col("t.gap")).alias("pattern"),
-        F.regexp_replace("t.hit", r"[.,;:!?]+$", "").alias("instance"),
-        F.col("t.start").alias("start"),
-        F.get(F.filter("base", lambda s: (s["start"] >= F.col("t.start")) & (s["start"] < F.col("t.end"))), F.lit(0))["rank"].alias("seed"),
-        F.exists("base", lambda s: (s["start"] < F.col("t.start")) & (F.col("t.start") < s["end"])).alias("inside"),
-    )
-    return one.where("pattern is not null and not inside and instance rlike '[0-9@]'").select("key", "pattern", "instance", "start", (F.col("start") + F.length("instance")).alias("end"), "seed")
+    none = F.array().cast("array<struct<start:int,end:int,instance:string,pattern:string>>")
+    return save(docs.select("*", base_spans(text).alias("base"), F.when(text.rlike("[0-9@]"), _tokens(text)).otherwise(none).alias("tokens")), "scanned")
+
+
+def _occurrences(scanned: DataFrame) -> DataFrame:
+    """Identifier-shaped tokens after two words: key, pattern, instance, start, end, seed (kind or null). Spans and
+    tokens of a text meet in order, so a text's tokens cost no more than a sort however many there are."""
+    blank = F.lit(None).cast("string")
+    span = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"), blank.alias("instance"), blank.alias("pattern")))
+    token = F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit(None).cast("int").alias("rank"), t["instance"].alias("instance"), t["pattern"].alias("pattern")))
+    rows = scanned.where(F.size("tokens") > 0).select(F.col(ROW_KEY).alias("key"), F.explode(F.concat(span, token)).alias("x")).select("key", "x.*")
+    up = Window.partitionBy("key").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("key").orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("until", F.max(F.when(F.col("rank").isNotNull(), F.col("end"))).over(up))
+    found = found.withColumn("next", F.min(F.when(F.col("rank").isNotNull(), F.struct("start", "rank"))).over(down))
+    free = F.coalesce(F.col("until") <= F.col("start"), F.lit(True))
+    one = found.where(F.col("rank").isNull() & free & F.col("pattern").isNotNull() & F.col("instance").rlike("[0-9@]"))
+    return one.select("key", "pattern", "instance", "start", "end", F.when(F.col("next.start") < F.col("end"), F.col("next.rank")).alias("seed"))
 
 
 def _corpus_counts(docs: DataFrame, patterns: DataFrame, text_col: str) -> DataFrame:
     """Occurrences in the whole corpus, before any word, of each of the patterns: pattern, total."""
-    words = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+")
+    words = F.concat(F.array(F.lit(START)), F.split(F.regexp_replace(_shape(F.coalesce(F.col(text_col), F.lit(""))), r"^\s+", ""), r"\s+"))
     pairs = docs.select(words.alias("w")).where(F.size("w") >= 3).select(F.explode(F.zip_with(F.slice("w", 1, F.size("w") - 2), F.slice("w", 2, F.size("w") - 2), lambda a, b: F.xxhash64(a, b))).alias("pair"))
     wanted = patterns.select("pattern", F.xxhash64(F.get(F.split("pattern", " "), F.lit(0)), F.get(F.split("pattern", " "), F.lit(1))).alias("pair"))
     if patterns.count() <= LISTED_PATTERNS:  # other pairs go before the aggregation, which has a row a pattern and task
@@ -132,39 +179,43 @@ def _corpus_counts(docs: DataFrame, patterns: DataFrame, text_col: str) -> DataF
     return pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("total")).join(wanted, "pair").select("pattern", "total")
 
 
-def discover(docs: DataFrame, text_col: str = "text", min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(spans, patterns) that the bootstrapping finds. docs has ROW_KEY. spans: key, start, end of tokens that
-    are no base spans; patterns: pattern, seeds, total, confidence. Either may be empty."""
-    seen = save(_occurrences(docs, text_col), "identifiers")
+def discover(scanned: DataFrame, docs: DataFrame, text_col: str = "text", min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(spans, patterns) that the bootstrapping finds in docs and their scan(). spans: key, start, end of tokens that
+    are no base spans; patterns: pattern, seeds (likely instances), total, confidence. Either may be empty."""
+    seen = save(_occurrences(scanned), "identifiers")
     edges = seen.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.min("seed").alias("seed"))
-    patterns = save(edges.groupBy("pattern").agg(F.count("seed").alias("seeds")).where(F.col("seeds") >= min_seeds), "patterns")
-    if patterns.isEmpty():
-        return seen.select("key", "start", "end").limit(0), patterns.select("pattern", "seeds", F.lit(None).cast("long").alias("total"), F.lit(None).cast("double").alias("confidence"))
-    patterns = save(patterns.join(_corpus_counts(docs, patterns, text_col), "pattern"), "pattern-totals")
-    graph = save(edges.join(patterns, "pattern").select("pattern", "instance", "n", "seed", "total"), "graph")
-    scored = graph.select("instance", F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("score")).groupBy("instance").agg(F.max("score").alias("score"))
-    confident = None
+    # Only these can ever have enough likely instances; the rest need no totals.
+    patterns = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances")).where(F.col("instances") >= min_seeds).select("pattern")
+    graph = save(edges.join(patterns, "pattern"), "graph")
+    good = graph.select("pattern", F.lit(0).cast("long").alias("seeds"), F.lit(0).cast("long").alias("total"), F.lit(0.0).alias("confidence")).limit(0)
+    none = seen.select("key", "start", "end").limit(0)
+    if graph.where("seed is not null").isEmpty():
+        return none, good
+    totals = save(_corpus_counts(docs, graph.select("pattern").distinct(), text_col), "pattern-totals")
+    scored = graph.groupBy("instance").agg(F.max(F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0)).alias("score"))
     for _ in range(rounds):
-        confident = graph.join(scored, "instance").groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.max("total") + 1.0)).alias("confidence"))
-        confident = save(confident, "confidence")
-        left = F.log1p(-F.least(F.when(F.col("confidence") >= min_confidence, F.col("confidence")).otherwise(0.0), F.lit(1 - 1e-9)))
-        joined = graph.join(confident, "pattern").groupBy("instance").agg(F.when(F.max("seed").isNotNull(), 1.0).otherwise(1 - F.exp(F.sum(left))).alias("score"))
-        scored = save(joined, "scores")
-    good = patterns.join(confident, "pattern").where(F.col("confidence") >= min_confidence)
+        likely = graph.join(scored, "instance").where("score > 0").groupBy("pattern").agg(F.sum(F.when(F.col("score") >= min_confidence, 1).otherwise(0)).alias("seeds"), F.sum(F.col("n") * F.col("score")).alias("likely"))
+        likely = likely.where(F.col("seeds") >= min_seeds).join(totals, "pattern").withColumn("confidence", F.col("likely") / (F.col("total") + 1.0))
+        good = save(likely.where(F.col("confidence") >= min_confidence).select("pattern", "seeds", "total", "confidence"), "confidence")
+        left = F.log1p(-F.least(F.col("confidence"), F.lit(1 - 1e-9)))
+        found = graph.join(good, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(left))).alias("score"))
+        seeds = graph.where("seed is not null").select("instance", F.lit(1.0).alias("score"))
+        scored = save(found.unionByName(seeds).groupBy("instance").agg(F.max("score").alias("score")), "scores")
     new = seen.where("seed is null").join(good.select("pattern"), "pattern").join(scored.where(F.col("score") >= min_confidence), "instance")
     return save(new.select("key", "start", "end").distinct(), "discovered"), good
 
 
-def _with_spans(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with ROW_KEY, base and spans."""
+def _with_spans(docs: DataFrame, text_col: str, keep_text: bool) -> DataFrame:
+    """docs with ROW_KEY, base and spans; without their text unless asked for."""
     docs = docs.withColumn(ROW_KEY, row_key("doc_id", text_col))
-    found, _ = discover(docs, text_col)
+    scanned = scan(docs, text_col)
+    found, _ = discover(scanned, docs, text_col)
     new = found.groupBy("key").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("context")).alias("rank"), "end")).alias("new")).withColumnRenamed("key", ROW_KEY)
-    docs = docs.withColumn("base", base_spans(F.col(text_col)))
+    scanned = scanned.drop("tokens", *([] if keep_text else [text_col]))
     n = found.count()
     if n == 0:
-        return docs.withColumn("spans", F.col("base"))
-    joined = docs.join(F.broadcast(new) if n <= BROADCAST_ROWS else new, ROW_KEY, "left")
+        return scanned.withColumn("spans", F.col("base"))
+    joined = scanned.join(F.broadcast(new) if n <= BROADCAST_ROWS else new, ROW_KEY, "left")
     return joined.withColumn("spans", F.when(F.col("new").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.col("new").cast(f"array<{SPAN}>"))))).drop("new")
 
 
@@ -176,14 +227,14 @@ def written(spans: str) -> Column:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and spans (arrays of start, rank in KINDS and end, in code points), a row per input row."""
-    return _with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias(text_col)), text_col).select("doc_id", "base", "spans")
+    return _with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), "text", False).select("doc_id", "base", "spans")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind, as <EMAIL>; overlapping spans become the first
     of them. n_chars, if there, is counted anew. Null stays null."""
     names = docs.columns
-    rows = _with_spans(docs.select(F.col("doc_id"), F.col(text_col), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__all")), text_col)
+    rows = _with_spans(docs.select(F.col("doc_id"), F.col(text_col), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__all")), text_col, True)
     text = F.col(text_col)
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
