@@ -313,6 +313,20 @@ def test_packing_is_whole_and_tight(small):
     assert (ordered.offset == ordered.groupby("sequence_id").length.cumsum() - ordered.length).all()
 
 
+def test_packing_of_very_long_texts(spark, monkeypatch):
+    """A stream is cut in slices within a document, and comes out whole and about as tight."""
+    monkeypatch.setattr(packing, "BLOCK_TOKENS", 6000)
+    rows = [(1, "A few words. " * 9000), (2, None), (3, "z " * 30_000), (4, "short")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), *tokenizer_files()).toPandas().sort_values(["doc_id", "start"])
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_files()[0])
+    for i, t in rows:
+        assert np.concatenate(got[got.doc_id == i].token_ids.tolist()).tolist() == [*library.encode(t or "", add_special_tokens=False).ids, 1]
+    sizes = got.groupby("sequence_id").length.sum()
+    assert sizes.max() <= packing.LENGTH and sum(0 if n & (n - 1) == 0 else packing.LENGTH - n for n in sizes) < 0.02 * sizes.sum()
+
+
 def test_repeats(docs, none, small):
     got = {}
     for r in substring_dedup.remove_repeats(docs).collect():
@@ -320,6 +334,7 @@ def test_repeats(docs, none, small):
     empty = hashlib.sha256(b"").hexdigest()
     assert got[1][0][1] == 0 and got[2] == [(400, 400, empty)] and got[3][0][1] == 399 and got[4] == [(0, 0, empty)] and got[None][0][1] == 0 and got[8][0][1] == 0
     assert substring_dedup.remove_repeats(none).count() == 0
+    assert not [t for t in small.sparkSession.catalog.listTables() if t.name.startswith("tidemark_segments")]
     first, want = {}, {}
     for d, t in sorted(texts()):
         w, gone = (t or "").encode().split(), set()
@@ -393,9 +408,11 @@ def test_sharding(docs, none, spark, tmp_path):
     spread = sharding.assign(same, 1000).toPandas().groupby("shard").n_bytes.sum()
     assert spread.max() <= 1000 and spread.sum() == 6000
     assert sharding.assign(none, 2000).count() == 0 and sharding.assign(docs).select("shard").distinct().count() == 1
-    directory = sharding.write_shards(docs.drop("a.b"), str(tmp_path / "s"), 2000).toPandas()
+    clashing = docs.withColumns({c: F.lit("x") for c in ("shard_bits", "__shard", "__h1", "__row", "n_bytes", "depth")})
+    directory = sharding.write_shards(clashing, str(tmp_path / "s"), 2000).toPandas()
     back = spark.read.parquet(str(tmp_path / "s"))
-    assert back.count() == len(ROWS) and back.select("shard_bits").distinct().count() == len(directory)
+    assert back.columns == [*clashing.columns, "shard_bits_"]
+    assert back.count() == len(ROWS) and back.select("shard_bits_").distinct().count() == len(directory)
 
 
 def test_licenses(docs, none, small):

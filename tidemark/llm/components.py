@@ -14,8 +14,9 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of an edge reaches, itself included. Nodes can be of
-    any ordered type. Edges with a null end, and loops, are left out. Every step groups by node with partial
-    minima, so a node with very many edges costs no single task more than its edges' join."""
+    any ordered type. Edges with a null end, and loops, are left out. Minima are
+    partial before they shuffle; a node with very many edges is a skewed key of the joins, which adaptive execution
+    splits, as a join's other side has one row for it."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     e = save(e, "edges")
     before = _state(e)

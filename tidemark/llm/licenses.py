@@ -2,8 +2,8 @@
 
 A template is cut into five-word shingles. Texts are scanned in windows somewhat longer than the template, at a
 stride of a quarter of it, so any stretch of the template's length lies whole in some window. A stretch that
-holds 80 % of the template's shingles then has a Jaccard similarity with its window of at least LEAST; one hash
-a band and BANDS bands retrieve it with a chance of 1 - (1 - LEAST) ** BANDS. Retrieved templates are verified by
+holds 80 % of the template's shingles then has a Jaccard similarity with its window of at least least_similarity();
+bands of one hash each retrieve it, so many that the chance to miss it is at most MISS. Retrieved templates are verified by
 counting their shingles in the window exactly. A template of fewer than five words is one shingle of all its
 words, which is looked up at that width wherever it stands. Licenses share wording: of matches on one stretch the
 one of highest containment is reported.
@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import bounded_batches
-from .words import WordBlock, blocks, folded_words, mix, rolled
+from .words import HashedWords, blocks, folded_words, mix, rolled
 
-SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 20
-#: Bytes of template text that go to the executors at once; more are scanned in further passes.
-BLOCK_BYTES = 8 << 20
+SHINGLE, CONTAINMENT, MISS = 5, 0.8, 1e-4
+#: Bytes of template text that a scan takes: it is broadcast and each worker indexes it.
+MOST_BYTES = 8 << 20
 FOUND = "doc_id long, n_words long, licenses array<struct<license:string,first_word:int,last_word:int,shingles:int,matched:int>>"
 
-# Fixed texts: license notices as their publishers ask to put them into works.
+# Fixed texts: license notices as their publishers ask to put them into works, and short statements as authors write them.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
@@ -64,6 +64,12 @@ TEMPLATES |= {p.stem: p.read_text("utf-8") for p in sorted((Path(__file__).paren
 # Notices of fewer than five words.
 SHORT = {"all-rights-reserved-notice": "All rights reserved."}
 
+# Identifiers of the SPDX license list, for the tags that source files carry.
+SPDX = "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 EUPL-1.2 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib"
+for _id in SPDX.split():
+    _tag = f"SPDX-License-Identifier: {_id}"
+    (SHORT if len(folded_words(_tag)) < SHINGLE else TEMPLATES)[f"SPDX-{_id}"] = _tag
+
 
 def least_similarity(shingles: int, window: int) -> float:
     """The least Jaccard similarity of a template of so many shingles and a window of `window` shingles that
@@ -72,17 +78,19 @@ def least_similarity(shingles: int, window: int) -> float:
     return held / (shingles + window - held)
 
 
+def bands(similarity: float) -> int:
+    """Bands of one hash each that all miss a window of this similarity with a chance of MISS at most."""
+    return math.ceil(math.log(MISS) / math.log(1 - similarity)) if similarity < 1 else 1
+
+
 class Templates:
-    """Templates by window class: [window, stride, template shingles, band tables]."""
+    """Templates by window class, (window, stride), with the number of bands that the class needs."""
 
     def __init__(self, texts: dict[str, str]):
-        import xxhash
-
         def hashes(text: str) -> np.ndarray:
-            h = np.array([xxhash.xxh3_64_intdigest(w, 0) for w in folded_words(text)], np.uint64)
+            h = HashedWords([folded_words(text)]).name
             return np.unique(rolled(h, min(SHINGLE, len(h)))) if len(h) else h
 
-        self.seeds = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
         self.names = [k for k in sorted(texts) if len(folded_words(texts[k])) >= SHINGLE]
         self.short = [(k, w, hashes(texts[k])[0]) for k in sorted(texts) if 0 < (w := len(folded_words(texts[k]))) < SHINGLE]
         self.shingles = [hashes(texts[k]) for k in self.names]
@@ -90,6 +98,8 @@ class Templates:
         for k, x in enumerate(self.shingles):
             size = 1 << (len(x) - 1).bit_length()  # templates of up to `size` shingles share a scan
             self.classes[max(len(x) + len(x) // 4, size + size // 4), max(1, size // 8)].append(k)
+        self.bands = {c: max(bands(least_similarity(len(self.shingles[k]), c[0])) for k in members) for c, members in self.classes.items()}
+        self.seeds = mix(np.arange(1, max(self.bands.values(), default=0) + 1, dtype=np.uint64))
         self.minima = [np.array([mix(x ^ s).min() for s in self.seeds]) for x in self.shingles]
 
 
@@ -129,10 +139,10 @@ def _best(rows: list[tuple]) -> list[tuple]:
     return sorted(kept)
 
 
-def _scan(block: WordBlock, known: Templates) -> list[list[tuple]]:
+def _scan(block: HashedWords, known: Templates) -> list[list[tuple]]:
     """For each text, (license, first word, last word, shingles, matched) of the verified matches."""
     found: list[dict] = [{} for _ in block.counts]
-    words = block.hashes(0)
+    words = block.name
     short: list[list[tuple]] = [[] for _ in found]
     for width in sorted({w for _, w, _ in known.short}):
         x = rolled(words, width)
@@ -145,11 +155,11 @@ def _scan(block: WordBlock, known: Templates) -> list[list[tuple]]:
     if not len(x) or not known.names:
         return [sorted(of) for of in short]
     inside = block.owner[: len(x)] == block.owner[SHINGLE - 1 :]
-    minima = [sliding_minima(np.where(inside, mix(x ^ s), np.uint64((1 << 64) - 1)), known.classes) for s in known.seeds]
+    minima = [sliding_minima(np.where(inside, mix(x ^ s), np.uint64((1 << 64) - 1)), [c for c, n in known.bands.items() if b < n]) for b, s in enumerate(known.seeds)]
     for (width, stride), members in known.classes.items():
         hits: set[tuple[int, int]] = set()
-        for b, of_class in enumerate(minima):
-            least = of_class[width, stride]
+        for b in range(known.bands[width, stride]):
+            least = minima[b][width, stride]
             values = np.array([known.minima[k][b] for k in members])
             order = np.argsort(values)
             at = np.clip(np.searchsorted(values[order], least), 0, len(values) - 1)
@@ -176,24 +186,20 @@ def _scan(block: WordBlock, known: Templates) -> list[list[tuple]]:
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """FOUND, a row per input row: the stretches of words that hold 80 % or more of a template's five-word
     shingles, with the best template of each (all words of a template of fewer than five). A null or empty text has none. Repeated rows
-    give their result each."""
+    give their result each. Templates beyond MOST_BYTES are an error."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    parts: list[dict[str, str]] = [{}]
-    for k in sorted(templates):
-        if parts[-1] and sum(map(len, parts[-1].values())) + len(templates[k]) > BLOCK_BYTES:
-            parts.append({})
-        parts[-1][k] = templates[k]
-    sent = spark.sparkContext.broadcast(parts)
+    if sum(len(t.encode("utf-8", "surrogatepass")) for t in templates.values()) > MOST_BYTES:
+        raise ValueError(f"templates of more than {MOST_BYTES} bytes: scan for them in several calls")
+    sent = spark.sparkContext.broadcast(templates)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [Templates(p) for p in sent.value]
+        known = Templates(sent.value)
         kind = pa.list_(pa.struct([("license", pa.string()), *((c, pa.int32()) for c in ("first_word", "last_word", "shingles", "matched"))]))
         names = ["license", "first_word", "last_word", "shingles", "matched"]
         for rows in blocks(batches, 2 << 20):
-            block = WordBlock(folded_words(r[1]) for r in rows)
-            every = [_scan(block, k) for k in known]
-            merged = [[dict(zip(names, m, strict=True)) for m in _best([m for of in texts for m in of])] for texts in zip(*every, strict=True)]
+            block = HashedWords(folded_words(r[1]) for r in rows)
+            merged = [[dict(zip(names, m, strict=True)) for m in _best(of)] for of in _scan(block, known)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(block.counts), pa.array(merged, kind)], names=["doc_id", "n_words", "licenses"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, FOUND)

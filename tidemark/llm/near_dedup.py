@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import ROW_KEY, bounded_batches, row_key, save, temporary
-from .words import WordBlock, blocks, folded_words, mix, rolled
+from .words import HashedWords, blocks, folded_words, mix, rolled
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Sketches of a document, and the shingles that each keeps. Documents of fewer than SHORT shingles have sketches
@@ -91,15 +91,14 @@ def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[bytes, np.ndarray] = {}
     for rows in blocks(batches, 2 << 20):
         words = [folded_words(r[-1]) for r in rows]
-        block = WordBlock(words)
-        hashes = block.hashes()
+        block = HashedWords(words)
         out: list[tuple] = []
         for k, row in enumerate(rows):
             own = words[k]
             digest = hashlib.blake2b(b" ".join(own), digest_size=16).digest() if own else None
             got = known.get(digest) if own else np.zeros(0, np.uint64)
             if got is None:
-                got = sketch(shingles(hashes[block.starts[k] : block.starts[k + 1]]))
+                got = sketch(shingles(block.name[block.starts[k] : block.starts[k + 1]]))
                 if len(known) > 5000:
                     known.clear()
                 known[digest] = got
@@ -158,7 +157,7 @@ class Shingled:
 
 
 def _shingled(text: str) -> np.ndarray:
-    return shingles(WordBlock([folded_words(text)]).hashes())
+    return shingles(HashedWords([folded_words(text)]).name)
 
 
 def similarity(a: Shingled, b: Shingled, least: float = SIMILARITY) -> float:

@@ -24,7 +24,7 @@ LENGTH = 2048
 END_ID = 1
 #: Penalties in tokens of padding, and the grid within a sentence.
 SENTENCE_CUT, TRUNCATION, GRID = 4.0, 24.0, 32
-#: Tokens after which the stream is cut into a block of its own; its last, open sequence is carried on.
+#: Tokens of the stream that are cut at a time, be it within a document; the last, open sequence is carried on.
 BLOCK_TOKENS = 1 << 19
 CACHE = 300_000
 
@@ -149,8 +149,13 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, id_col: str = "doc_id
 
         def placed(final: bool) -> Iterator[pa.RecordBatch]:
             nonlocal open_docs, waiting, number
-            stream = np.concatenate([ids[done:] for _, ids, done in open_docs])
-            edge = np.cumsum([len(ids) - done for _, ids, done in open_docs])
+            parts, left = [], BLOCK_TOKENS
+            for _, ids, done in open_docs:
+                parts.append(ids[done : done + left])
+                left -= len(parts[-1])
+                if not left:
+                    break
+            stream, edge = np.concatenate(parts), np.cumsum([len(x) for x in parts])
             marks = np.flatnonzero(sentence[stream]) + 1
             at = cuts(marks, edge, length)
             if final:
@@ -186,7 +191,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, id_col: str = "doc_id
                 ids = encoder.ids(text or "")
                 open_docs.append((i, np.append(ids, np.uint32(END_ID)), 0))
                 waiting += len(ids) + 1
-            if waiting >= BLOCK_TOKENS:
+            while waiting >= BLOCK_TOKENS:
                 yield from placed(False)
         if open_docs:
             yield from placed(True)

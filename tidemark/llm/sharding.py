@@ -74,12 +74,16 @@ def assign(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", te
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write docs, all columns, as Parquet under path, a folder `shard_bits=s<bits>` for each shard; returns the
-    directory: shard, depth, n_docs, n_bytes. A task gets whole shards, which the limit bounds."""
+    """Write docs, all columns, as Parquet under path, a folder `shard_bits=s<bits>` for each shard (with further
+    underscores before the `=` where docs has a column of that name); returns the directory: shard, depth, n_docs,
+    n_bytes. A task gets whole shards, which the limit bounds."""
+    column = "shard_bits"
+    while column in {c.lower() for c in docs.columns}:
+        column += "_"
     h1, h2 = _hashes(id_col, text_col)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     n_bytes = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
     placed = _placed(save(docs.select(row.alias("__row"), n_bytes.alias("n_bytes"), h1.alias("__h1"), h2.alias("__h2")), "hashed"), limit)
-    named = placed.select("__row.*", F.concat(F.lit("s"), "shard").alias("__shard"))
-    named.repartition(partitions(docs.sparkSession), "__shard").withColumnRenamed("__shard", "shard_bits").write.partitionBy("shard_bits").parquet(path)
+    named = placed.select("__row.*", F.concat(F.lit("s"), "shard").alias(column))
+    named.repartition(partitions(docs.sparkSession), column).write.partitionBy(column).parquet(path)
     return placed.groupBy("shard", "depth").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_bytes").alias("n_bytes"))

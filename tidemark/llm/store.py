@@ -56,6 +56,18 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
+@contextlib.contextmanager
+def few_records(spark: SparkSession, n: int) -> Iterator[None]:
+    """Arrow batches of at most n records meanwhile, for rows that are whole segments."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """128 bits of a row's content: the same after any retry, equal only for repeated rows."""
     parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in (id_col, text_col)]

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, partitions, save
-from .words import WordBlock, blocks, mix, plain_words
+from .store import bounded_batches, few_records, partitions, save
+from .words import HashedWords, blocks, mix, plain_words
 
 WINDOW = 13
 SEGMENT_CHARS = 3 << 20
@@ -54,9 +54,9 @@ class Symbols:
     """A level of the rename: parallel arrays by symbol. name and check: two 64-bit hashes; start, end: its
     words; left, right: the words that determine it, beyond reach where a document's edge would be needed."""
 
-    def __init__(self, block: WordBlock):
-        n = len(block.ids)
-        self.name, self.check = block.hashes(0), block.hashes(1)
+    def __init__(self, block: HashedWords):
+        n = len(block.owner)
+        self.name, self.check = block.name, block.check
         self.start = np.arange(n, dtype=np.int64)
         self.end = self.start + 1
         self.left, self.right = self.start.copy(), self.end.copy()
@@ -106,7 +106,7 @@ class Parsed:
 
     def __init__(self, doc_ids: list, texts: list):
         self.words = [plain_words(t) for t in texts]
-        self.block = block = WordBlock(self.words)
+        self.block = block = HashedWords(self.words)
         self.doc_ids = np.array([-1 if x is None else x for x in doc_ids], np.int64)
         self.known = np.array([x is not None for x in doc_ids], bool)
         level = Symbols(block)
@@ -129,12 +129,12 @@ class Parsed:
         self.high = [np.concatenate(x) for x in zip(*high, strict=True)] if high else [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 3
         self.windows = block.starts[1:] - block.starts[:-1] >= WINDOW
         # A position opens a window if the document goes on for 13 words and has an id.
-        at = np.arange(len(block.ids))
+        at = np.arange(len(block.owner))
         self.opens = (block.starts[block.owner + 1] - at >= WINDOW) & self.known[block.owner] if len(at) else np.zeros(0, bool)
 
     def covered(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Which positions lie in any of the ranges [lo, hi)."""
-        n = len(self.block.ids)
+        n = len(self.block.owner)
         edge = np.zeros(n + 1, np.int64)
         ok = hi > lo
         np.add.at(edge, np.clip(lo[ok], 0, n), 1)
@@ -214,7 +214,7 @@ def _windows(h: np.ndarray) -> np.ndarray:
 
 
 def _window_sending(p: Parsed, at: np.ndarray, buckets: int) -> Sending:
-    name, check = (_windows(p.block.hashes(seed))[at] if len(at) else np.zeros(0, np.uint64) for seed in (0, 1))
+    name, check = (_windows(h)[at] if len(at) else np.zeros(0, np.uint64) for h in (p.block.name, p.block.check))
     return Sending(name, check, p.doc_ids[p.block.owner[at]], buckets)
 
 
@@ -265,12 +265,11 @@ def _each(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
             yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
 
 
-def _segment_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _segment_table(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     """The corpus as segments in a table bucketed by segment, in the session's warehouse, so that texts are
     never shuffled: only answers move to them."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    name = f"tidemark_segments_{uuid.uuid4().hex}"
     rows.mapInArrow(_segments, SEGMENTS).write.option("compression", "zstd").bucketBy(partitions(spark), "segment").saveAsTable(name)
     return spark.table(name)
 
@@ -278,11 +277,19 @@ def _segment_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """RESULT, a row per input row: words covered by 13-word windows whose words also start in a document with a
     smaller id are removed, judged on the input. A null text has no words; a document without an id neither
-    loses words nor counts as a source; rows with the same id are no sources for each other."""
+    loses words nor counts as a source; rows with the same id are no sources for each other. The result is a written
+    table; the table of segments is dropped, however the run ends."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
-    segments = _segment_table(docs, id_col, text_col)
+    name = f"tidemark_segments_{uuid.uuid4().hex}"
+    try:
+        with few_records(spark, 200):
+            return _repeats_removed(_segment_table(docs, id_col, text_col, name))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _repeats_removed(segments: DataFrame) -> DataFrame:
     total = segments.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(64, total // (2 * BUCKET_KEYS))
 
@@ -319,4 +326,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     first = save(segments.select("segment", "doc_ids", "texts").mapInArrow(symbols, SENT).groupBy("bucket").applyInArrow(_answered, ANSWERS), "symbol-answers")
     second = save(with_answers(first).mapInArrow(windows, SENT).groupBy("bucket").applyInArrow(_answered, ANSWERS), "window-answers")
-    return with_answers(first.unionByName(second)).mapInArrow(removed, RESULT)
+    return save(with_answers(first.unionByName(second)).mapInArrow(removed, RESULT), "repeats-removed")

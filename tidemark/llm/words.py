@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,21 @@ class WordBlock:
         return own[self.ids]
 
 
+class HashedWords:
+    """The words of some texts end to end, as 128-bit hashes in two halves, name and check; starts, counts and owner
+    as in WordBlock."""
+
+    def __init__(self, texts: Iterable[list[bytes]]):
+        import xxhash
+
+        every = list(texts)
+        self.counts = np.array([len(x) for x in every], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
+        self.owner = np.repeat(np.arange(len(every)), self.counts)
+        halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, chain.from_iterable(every))), ">u8").reshape(-1, 2)
+        self.name, self.check = halves[:, 0].astype(np.uint64), halves[:, 1].astype(np.uint64)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: xor-shifts and odd multipliers."""
     x = x ^ (x >> np.uint64(31))
