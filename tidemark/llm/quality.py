@@ -7,7 +7,8 @@ the weights. k is a share of the documents: a parameter, or else the share of la
 taken two standard errors high.
 
 Toxic documents may be well written, so a model of their own finds them: words and word prefixes that more
-labelled toxic than other labelled documents hold are weighed by the lower bound of the log ratio of these shares.
+labelled toxic than other labelled documents hold, and two at least, are weighed by the lower bound of the log ratio
+of these shares.
 A document's toxicity is the sum of its STRONGEST heaviest words, so that a few insults count in a long text too,
 and documents above a calibrated cut are taken out of the sample whatever their weight.
 """
@@ -34,9 +35,9 @@ LOSS = 10.0
 #: Seed of the Gumbel noise, and standard errors that the share of good labels is raised by.
 SEED, RAISED = 20240131, 2.0
 
-#: Toxic words: buckets of their hashes, lengths of prefixes in characters, standard errors that a log ratio is
-#: lowered by, and words that make up a document's toxicity.
-TOXIC_BUCKETS, PREFIXES, ERRORS, STRONGEST = 1 << 18, range(4, 9), 1.0, 3
+#: Toxic words: buckets of their hashes, lengths of prefixes in bytes, standard errors that a log ratio is
+#: lowered by, toxic documents that a form must be in, and words that make up a document's toxicity.
+TOXIC_BUCKETS, PREFIXES, ERRORS, LEAST_TOXIC, STRONGEST = 1 << 18, range(4, 9), 1.0, 2, 5
 
 SCORED = "doc_id long, row_key binary, toxic int, fold int, n_grams long, log_weight double, toxicity double"
 _GRAM = re.compile(r"\w+|[^\w\s]+")
@@ -61,15 +62,15 @@ def grams(block: WordBlock) -> tuple[np.ndarray, np.ndarray]:
 
 def marks(block: WordBlock) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, terms): the hashed forms of the block's terms, that is each word and its prefixes, with its number."""
-    import xxhash
-
-    buckets, terms = [], []
-    for i, term in enumerate(block.terms):
-        word = term.decode("utf-8", "surrogatepass")
-        for form in (word, *(word[:k] + "-" for k in PREFIXES if len(word) > k)):
-            buckets.append(xxhash.xxh3_64_intdigest(form.encode("utf-8", "surrogatepass"), 11) % TOXIC_BUCKETS)
-            terms.append(i)
-    return np.array(buckets, np.int64), np.array(terms, np.int64)
+    n = len(block.terms)
+    sizes = np.fromiter(map(len, block.terms), np.int64, n)
+    heads = np.frombuffer(b"".join([t[:8].ljust(8, b"\0") for t in block.terms]), "<u8")
+    forms, terms = [block.term_hashes(11)], [np.arange(n)]
+    for k in PREFIXES:
+        longer = np.flatnonzero(sizes > k)
+        forms.append(mix((heads[longer] & np.uint64((1 << 8 * k) - 1)) + mix(np.full(len(longer), k, np.uint64))))
+        terms.append(longer)
+    return (np.concatenate(forms) % np.uint64(TOXIC_BUCKETS)).astype(np.int64), np.concatenate(terms)
 
 
 def toxicity(block: WordBlock, table: np.ndarray) -> np.ndarray:
@@ -143,7 +144,8 @@ def toxic_weights(rows: DataFrame) -> np.ndarray:
     if not docs[1]:
         return np.zeros(TOXIC_BUCKETS)
     other, toxic = total + 0.5
-    return np.maximum(np.log(toxic / (docs[1] + 1)) - np.log(other / (docs[0] + 1)) - ERRORS * np.sqrt(1 / toxic + 1 / other), 0.0)
+    weight = np.log(toxic / (docs[1] + 1)) - np.log(other / (docs[0] + 1)) - ERRORS * np.sqrt(1 / toxic + 1 / other)
+    return np.where(total[1] >= LEAST_TOXIC, np.maximum(weight, 0.0), 0.0)
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray, loss: float = LOSS) -> float:

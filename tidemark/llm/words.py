@@ -56,12 +56,15 @@ class WordBlock:
         self.terms = list(vocab)
         self.owner = np.repeat(np.arange(len(counts)), self.counts)
 
-    def hashes(self, seed: int = 0) -> np.ndarray:
-        """A stable 64-bit hash of each word."""
+    def term_hashes(self, seed: int = 0) -> np.ndarray:
+        """A stable 64-bit hash of each term."""
         import xxhash
 
-        own = np.fromiter((xxhash.xxh3_64_intdigest(t, seed) for t in self.terms), np.uint64, len(self.terms))
-        return own[self.ids]
+        return np.fromiter((xxhash.xxh3_64_intdigest(t, seed) for t in self.terms), np.uint64, len(self.terms))
+
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """That of each word."""
+        return self.term_hashes(seed)[self.ids]
 
 
 class HashedWords:
