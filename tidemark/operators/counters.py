@@ -56,8 +56,8 @@ def rate(points: DataFrame, key: str = "series_key") -> DataFrame:
 
 
 def last_two(points: DataFrame, key: str = "series_key") -> DataFrame:
-    """series_key, irate, idelta from the last two points; series of one point are left out. An array of the two
-    latest is kept per series by partial aggregates, without sorting the series."""
+    """series_key, irate, idelta from the last two points; series of one point are left out. The two
+    latest are cut within tasks before the shuffle (a window with a rank limit), then sorted per series."""
     w = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("seq"))
     two = points.where("value is not null").withColumn("rn", F.row_number().over(w)).where("rn <= 2")
     wide = two.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max_by("value", -F.col("rn")).alias("v1"), F.max_by("value", "rn").alias("v0"), F.max("ts").alias("t1"), F.min("ts").alias("t0")).where("n = 2")

@@ -33,8 +33,8 @@ def delete_series(points: DataFrame, condition: Column) -> DataFrame:
     return points.where(~F.coalesce(condition, F.lit(False)))
 
 
-def compact(spark: SparkSession, path: str, to: str, files_a_day: int = 1) -> None:
-    """Rewrite with `files_a_day` files for each metric and day, sorted by series and time."""
+def compact(spark: SparkSession, path: str, to: str, files_a_day: int | None = None) -> None:
+    """Rewrite all, sorted by series and time, as files.write() parts it; chunks.merge() rewrites only small files."""
     files.write(files.read(spark, path), to, files_a_day)
 
 

@@ -92,6 +92,50 @@ def xor_deltas(points: DataFrame, key: str = KEY) -> DataFrame:
     return x.select(key, "ts", "seq", "xor", leading.cast("long").alias("leading"), trailing.cast("long").alias("trailing"))
 
 
+def xor_stats(points: DataFrame, key: str = KEY) -> DataFrame:
+    """By key: n (steps), equal (steps without change), leading and trailing (mean zero bits), most_bits (the longest
+    stretch from first to last set bit)."""
+    x = xor_deltas(points, key)
+    bits = F.when(F.col("xor") == 0, 0).otherwise(64 - F.col("leading") - F.col("trailing"))
+    return x.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("xor") == 0).alias("equal"), F.avg("leading").alias("leading"), F.avg("trailing").alias("trailing"), F.max(bits).cast("long").alias("most_bits"))
+
+
+def steps(points: DataFrame, digits: int, *by: str) -> DataFrame:
+    """by..., unscaled (values that `digits` decimals don't hold), step: the greatest common divisor of the others as
+    whole numbers of the last digit, from partial results."""
+    whole = F.when(F.round("value", digits) == F.col("value"), F.abs(F.round(F.col("value") * 10**digits)).cast("long"))
+
+    @F.pandas_udf("long", functionType=F.PandasUDFType.GROUPED_AGG)
+    def divisor(values):
+        return int(np.gcd.reduce(np.array([x for x in values if x == x], np.int64)))
+
+    rows = points.select(*by, whole.alias("c"))
+    distinct = rows.where("c is not null").groupBy(*by, F.pmod(F.xxhash64("c"), F.lit(64)).alias("__part")).agg(divisor("c").alias("c"))
+    found = distinct.groupBy(*by).agg(divisor("c").alias("step"))
+    return rows.groupBy(*by).agg(F.count_if(F.col("c").isNull()).alias("unscaled")).join(found, list(by), "left")
+
+
+def coded(points: DataFrame, key: str = KEY) -> DataFrame:
+    """By key and day, the chunk of a series: n, codec (of the fewest bytes), bytes, same_values and same_times: how many
+    come back from every codec bit by bit. A chunk is in a task's memory, so a day of a series bounds it."""
+    from ..functions import codecs
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["us", "seq"])
+        values, us = pdf["value"].to_numpy(float), pdf["us"].to_numpy(np.int64)
+        same = np.ones(len(values), bool)
+        for encode, decode in codecs.CODECS.values():
+            same &= _bits(decode(encode(values))) == _bits(values)
+        name, data = codecs.best(values)
+        times = codecs.times_decode(codecs.times_encode(us)) == us
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "day": [pdf["day"].iloc[0]], "n": [len(values)], "codec": [name], "bytes": [len(data)], "same_values": [int(same.sum())], "same_times": [int(times.sum())]})
+
+    rows = points.where("value is not null").select(key, F.floor(micros() / 86_400_000_000).alias("day"), micros().alias("us"), "seq", "value")
+    return rows.groupBy(key, "day").applyInPandas(run, f"{key} string, day long, n long, codec string, bytes long, same_values long, same_times long")
+
+
 def xor_encode(values: np.ndarray) -> np.ndarray:
     """The bits of the first value, then the XOR of each value with the one before."""
     b = _bits(values)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,15 @@ def top(rows: DataFrame, k: int, value: str = "value", key: str = "series_key",
     return rows.where(F.col(value).isNotNull()).orderBy(F.desc(value) if largest else F.asc(value), key).limit(k)
 
 
+def merged(sources: list[DataFrame], limit: int | None = None, keep: str | None = None) -> DataFrame:
+    """The points of all sources in order of time, of repeated ones the first or last arrival if asked for; with a
+    limit each task hands on no more than that many."""
+    from .dedup import dedup
+
+    every = reduce(DataFrame.unionByName, sources)
+    return page(sort(every if keep is None else dedup(every, keep), (("time", False),)), limit, 0)
+
+
 def capped(df: DataFrame, most: int = MOST_ROWS) -> tuple[DataFrame, bool]:
     """(df cut to `most` rows, whether any were cut)."""
     more = df.limit(most + 1).count() > most

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from ..model import at_micros, micros
 from ..plans import ast
 from . import counters
 
+#: Cells or buckets of a group that one task steps through.
+SLICE = 1 << 16
+
 
 def tumbling(interval_ms: int, start_ms: int, ts: str = "ts") -> Column:
     """The start of the point's bucket; buckets count from start_ms."""
@@ -35,12 +40,32 @@ def sliding(points: DataFrame, calls: tuple[ast.Call, ...], size_ms: int, slide_
     return aggregates(spread.withColumn("bucket", at_micros(F.lit(origin) + F.col("k") * slide)), calls, [*keys, "bucket"])
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left with the other columns of right, on equal keys, nulls included."""
+    named = right.select(*[F.col(f"`{k}`").alias(f"__on{i}") for i, k in enumerate(keys)], *[F.col(f"`{c}`") for c in right.columns if c not in keys])
+    on = reduce(Column.__and__, [F.col(f"`{k}`").eqNullSafe(F.col(f"__on{i}")) for i, k in enumerate(keys)])
+    return left.join(named, on, how).drop(*[f"__on{i}" for i in range(len(keys))])
+
+
 def sessions(points: DataFrame, calls: tuple[ast.Call, ...], gap_ms: int, keys: list[str]) -> DataFrame:
-    """Runs of points less than gap_ms apart; `bucket` is the first point's time, `bucket_end` the last's plus the gap."""
-    named = [aggregate(c.function, c.arg).alias(c.name) for c in calls]
-    w = F.session_window("ts", f"{gap_ms} milliseconds")
-    rows = points.groupBy(*keys, w.alias("session")).agg(*named)
-    return rows.select(*keys, F.col("session.start").alias("bucket"), F.col("session.end").alias("bucket_end"), *[c.name for c in calls])
+    """Runs of points less than gap_ms apart; `bucket` is the first point's time, `bucket_end` the last's plus the gap.
+
+    Points of one cell of gap_ms are in one session, so cells, a row each, tell where sessions start; starts are
+    carried over slices of cells. No group's points are ever sorted, or in one task because there are no keys."""
+    gap = gap_ms * 1000
+    rows = points.withColumn("__cell", F.floor(micros() / gap))
+    cells = rows.groupBy(*keys, "__cell").agg(F.min(micros()).alias("__lo"), F.max(micros()).alias("__hi"))
+    before = cells.select(*keys, (F.col("__cell") + 1).alias("__cell"), F.col("__hi").alias("__before"))
+    new = F.coalesce(F.col("__lo") - F.col("__before") >= gap, F.lit(True))
+    starts = _joined(cells, before, [*keys, "__cell"], "left").select(*keys, "__cell", F.floor(F.col("__cell") / SLICE).alias("__slice"), F.when(new, F.col("__lo")).alias("__new"))
+    inner = F.max("__new").over(Window.partitionBy(*keys, "__slice").orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0))
+    slices = starts.groupBy(*keys, "__slice").agg(F.max("__new").alias("__last"))
+    handed = F.max("__last").over(Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))
+    carried = slices.select(*keys, "__slice", handed.alias("__handed"))
+    found = _joined(starts.withColumn("__inner", inner), carried, [*keys, "__slice"]).select(*keys, "__cell", F.coalesce("__inner", "__handed").alias("__start"))
+    placed = _joined(rows, found, [*keys, "__cell"])
+    out = placed.groupBy(*keys, "__start").agg(F.max(micros()).alias("__end"), *[aggregate(c.function, c.arg).alias(c.name) for c in calls])
+    return out.select(*keys, at_micros(F.col("__start")).alias("bucket"), at_micros(F.col("__end") + gap).alias("bucket_end"), *[c.name for c in calls])
 
 
 def data_aligned(points: DataFrame, calls: tuple[ast.Call, ...], size_ms: int, step_ms: int | None = None) -> DataFrame:
@@ -64,25 +89,46 @@ def fill(rows: DataFrame, fill: ast.Fill, names: list[str], keys: list[str], int
     if fill.kind == "none":
         return rows
     n = max(0, (end_ms - start_ms) // interval_ms)
-    grid = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))).alias("k")
-    at = at_micros(F.lit(start_ms * 1000) + F.col("k") * (interval_ms * 1000)).alias("bucket")
+    slices = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n // SLICE).cast("long"))).alias("__slice")
     groups = rows.select(*keys).distinct() if keys else rows.sparkSession.range(1).select()
-    full = groups.select(*keys, grid).select(*keys, at).join(rows, [*keys, "bucket"], "left")
+    first = F.col("__slice") * SLICE
+    grid = groups.select(*keys, slices).select(*keys, "__slice", F.explode(F.sequence(first, F.least(first + SLICE - 1, F.lit(n)))).alias("__k"))
+    grid = grid.withColumn("bucket", at_micros(F.lit(start_ms * 1000) + F.col("__k") * (interval_ms * 1000)))
+    full = _joined(grid, rows.select(*keys, "bucket", *names), [*keys, "bucket"], "left")
     if fill.kind == "null":
-        return full
+        return full.select(*keys, "bucket", *names)
     if fill.kind in ("zero", "value"):
         x = 0.0 if fill.kind == "zero" else float(fill.value)
         return full.select(*keys, "bucket", *[F.coalesce(c, F.lit(x)).alias(c) for c in names])
-    w = Window.partitionBy(*keys).orderBy("bucket")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    if fill.kind == "previous":
-        return full.select(*keys, "bucket", *[F.last(c, ignorenulls=True).over(back).alias(c) for c in names])
-    if fill.kind != "linear":
+    if fill.kind not in ("previous", "linear"):
         raise ValueError(f"unknown fill: {fill.kind!r}")
+    sides = (False, True) if fill.kind == "linear" else (False,)
+    for ahead in sides:
+        full = _with_neighbours(full, names, keys, ahead, n >= SLICE)
     out = []
     for c in names:
-        t = F.when(F.col(c).isNotNull(), micros("bucket"))
-        v0, t0 = F.last(c, ignorenulls=True).over(back), F.last(t, ignorenulls=True).over(back)
-        v1, t1 = F.first(c, ignorenulls=True).over(ahead), F.first(t, ignorenulls=True).over(ahead)
-        out.append(F.when(F.col(c).isNotNull(), F.col(c)).otherwise(v0 + (v1 - v0) * (micros("bucket") - t0) / (t1 - t0)).alias(c))
+        back = F.col(f"__back_{c}")
+        if fill.kind == "previous":
+            out.append(back["v"].alias(c))
+        else:
+            ahead = F.col(f"__ahead_{c}")
+            line = back["v"] + (ahead["v"] - back["v"]) * (F.col("__k") - back["k"]) / (ahead["k"] - back["k"])
+            out.append(F.coalesce(F.col(c), line).alias(c))
     return full.select(*keys, "bucket", *out)
+
+
+def _with_neighbours(full: DataFrame, names: list[str], keys: list[str], ahead: bool, sliced: bool) -> DataFrame:
+    """full with __back_<name> or __ahead_<name>: struct<k, v> of the nearest bucket, itself included, that has a value.
+    Windows run within slices; what a slice hands on is a row, so a group without keys is no single task."""
+    order = F.desc if ahead else F.asc
+    side = "__ahead_" if ahead else "__back_"
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("__k").alias("k"), F.col(c).alias("v"))) for c in names}
+    w = Window.partitionBy(*keys, "__slice").orderBy(order("__k")).rowsBetween(Window.unboundedPreceding, 0)
+    near = full.withColumns({side + c: F.last(known[c], ignorenulls=True).over(w) for c in names})
+    if not sliced:
+        return near
+    edge = full.groupBy(*keys, "__slice").agg(*[(F.min if ahead else F.max)(known[c]).alias(c) for c in names])
+    on = Window.partitionBy(*keys).orderBy(order("__slice")).rowsBetween(Window.unboundedPreceding, -1)
+    handed = edge.select(*keys, "__slice", *[F.last(c, ignorenulls=True).over(on).alias(f"__edge_{c}") for c in names])
+    joined = _joined(near, handed, [*keys, "__slice"])
+    return joined.withColumns({side + c: F.coalesce(side + c, f"__edge_{c}") for c in names}).drop(*[f"__edge_{c}" for c in names])

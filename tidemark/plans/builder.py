@@ -82,6 +82,12 @@ class QueryBuilder:
     def explain(self) -> QueryBuilder:
         return self._with(explain=True)
 
+    def stream(self, live):
+        """The query over a stream of points."""
+        from ..streaming import queries
+
+        return queries.run(self.build(), live)
+
     def build(self) -> ast.Query:
         if self._q["start_ms"] is None:
             raise QueryError("a range is needed")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import durations
 from ..functions.aggregates import canonical
 from ..model import literal_ts
-from ..operators import counters, downsample, grouping, selectors, topk, windows
+from ..operators import counters, dedup, downsample, grouping, selectors, topk, windows
 from . import ast
 from .lexer import QueryError
 
@@ -19,12 +19,29 @@ _COLUMNS = {"time": "ts", "timestamp": "ts", "ts": "ts", "value": "value", "seri
 STAR = ("series_key", "ts", "value")
 
 
-def scan(q: ast.Query, points: DataFrame) -> DataFrame:
-    """The points that the query's metric, time range and conditions leave."""
+def _of_series(condition: ast.Condition) -> bool:
+    """Whether the condition looks at tags alone, so that it holds for all points of a series or none."""
+    if isinstance(condition, (ast.And, ast.Or)):
+        return all(map(_of_series, condition.parts))
+    return _of_series(condition.part) if isinstance(condition, ast.Not) else isinstance(condition, ast.TagMatcher)
+
+
+def scan(q: ast.Query, points: DataFrame, keep: str | None = None) -> DataFrame:
+    """The points that the query's metric, time range and conditions leave. keep first or last: of points of a series
+    at one time only that arrival is there, for conditions on values too; those on tags go before, to the scan."""
     rows = points.where((F.col("metric") == q.metric) & (F.col("ts") >= literal_ts(q.start_ms)) & (F.col("ts") <= literal_ts(q.end_ms)))
     if "day" in points.columns:
         rows = rows.where((F.col("day") >= F.to_date(literal_ts(q.start_ms))) & (F.col("day") <= F.to_date(literal_ts(q.end_ms))))
-    return rows if q.where is None else rows.where(selectors.condition(q.where))
+    parts = q.where.parts if isinstance(q.where, ast.And) else () if q.where is None else (q.where,)
+    for p in parts:
+        if keep is None or _of_series(p):
+            rows = rows.where(selectors.condition(p))
+    if keep is not None:
+        rows = dedup.dedup(rows, keep)
+        for p in parts:
+            if not _of_series(p):
+                rows = rows.where(selectors.condition(p))
+    return rows
 
 
 def interval(q: ast.Query) -> int:
@@ -32,14 +49,14 @@ def interval(q: ast.Query) -> int:
     return q.window.interval_ms or durations.auto(q.end_ms - q.start_ms)
 
 
-def compile(q: ast.Query, points: DataFrame) -> DataFrame:
-    """The query's result over points.
+def compile(q: ast.Query, points: DataFrame, keep: str | None = None) -> DataFrame:
+    """The query's result over points, of which keep (first, last) leaves one for each series and time.
 
     select: the columns (series_key, ts, value for `*`), by time. aggregate: the tags grouped by, `bucket` if
     there are windows, and a column per call; counters without a bucket are summed over the series. downsample: series_key,
     ts, value. latest: the newest points, oldest first. top: series_key, value of the last point of each series.
     """
-    rows = scan(q, points)
+    rows = scan(q, points, keep)
     if q.kind == "select":
         return _select(q, rows)
     if q.kind == "aggregate":
@@ -55,12 +72,13 @@ def compile(q: ast.Query, points: DataFrame) -> DataFrame:
     raise QueryError(f"unknown kind of query: {q.kind!r}")
 
 
-def _select(q: ast.Query, rows: DataFrame) -> DataFrame:
+def _select(q: ast.Query, rows: DataFrame, ordered: bool = True) -> DataFrame:
     names: list[str] = []
     for c in q.columns:
         names += STAR if c == "*" else (_COLUMNS.get(c.lower(), f"tag:{c}"),)
-    ordered = topk.page(topk.sort(rows, q.order or (("time", False),)), q.limit, q.offset)
-    return ordered.select(*[F.col("tags")[n[4:]].alias(n[4:]) if n.startswith("tag:") else F.col(n) for n in dict.fromkeys(names)])
+    if ordered:
+        rows = topk.page(topk.sort(rows, q.order or (("time", False),)), q.limit, q.offset)
+    return rows.select(*[F.col("tags")[n[4:]].alias(n[4:]) if n.startswith("tag:") else F.col(n) for n in dict.fromkeys(names)])
 
 
 def _aggregate(q: ast.Query, rows: DataFrame) -> DataFrame:
@@ -68,6 +86,8 @@ def _aggregate(q: ast.Query, rows: DataFrame) -> DataFrame:
     names = [c.name for c in q.calls]
     if keys:
         rows = rows.select("*", *grouping.tag_columns(q.group_by))
+    elif any(canonical(c.function)[0] in ("irate", "idelta") for c in q.calls):
+        keys = ["series_key"]  # steps of different series don't make one
     if q.window is None:
         if {canonical(c.function)[0] for c in q.calls} <= {"rate", "increase"}:
             out = _counters(q, rows, keys)

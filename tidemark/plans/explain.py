@@ -1,19 +1,17 @@
-"""What a query will do: its steps, a rough cost class, and Spark's plan."""
+"""What a query will do: its steps, what Spark expects it to cost, and Spark's plan."""
 
 from __future__ import annotations
 
 import contextlib
 import io
+import math
+import re
 
 from pyspark.sql import DataFrame
 
 from ..functions import durations
 from . import ast, compiler
 
-#: Points a second and hours a chunk that the estimate assumes, and the most rows by kind of query.
-CHUNK_MS = 7_200_000
-MOST = {"select": 10_000, "aggregate": 50_000, "downsample": 100_000}
-
 
 def steps(q: ast.Query) -> list[str]:
     out = [f"scan {q.metric} from {q.start_ms} to {q.end_ms}"]
@@ -37,18 +35,19 @@ def steps(q: ast.Query) -> list[str]:
     return out
 
 
-def cost(q: ast.Query) -> dict:
-    """rows, bytes, chunks and a class, from the time range alone."""
-    if q.kind in ("latest", "top"):
-        rows, size, chunks = 10, 160, 1
-    else:
-        span = q.end_ms - q.start_ms
-        rows = max(span // 1000, 1)
-        size, chunks = 16 * rows, max(1, -(-span // CHUNK_MS))
-        rows = min(rows, MOST[q.kind])
-    classes = (("fast (<10ms)", 1_000, 5), ("medium (10-100ms)", 100_000, 50), ("slow (100ms-1s)", 1_000_000, 500))
-    name = next((n for n, r, c in classes if rows < r and chunks < c), "very_slow (>1s)")
-    return {"rows": rows, "bytes": size, "chunks": chunks, "class": name}
+def cost(df: DataFrame) -> dict:
+    """What Spark's statistics say before the run: scanned_bytes and files after pruning, result_bytes, tasks of the
+    scan, shuffles, and effort: whether the scan is one task, one wave of tasks over the slots, or several."""
+    spark = df.sparkSession
+    execution = df._jdf.queryExecution()
+    plan = execution.optimizedPlan()
+    leaves = plan.collectLeaves()
+    scanned = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    tasks, slots = max(1, math.ceil(scanned / split)), spark.sparkContext.defaultParallelism
+    shuffles = len(re.findall(r"\bExchange (?:hash|range|SinglePartition|RoundRobin)", execution.executedPlan().toString()))
+    effort = "one task" if tasks == 1 else "one wave" if tasks <= slots else f"{math.ceil(tasks / slots)} waves"
+    return {"scanned_bytes": scanned, "files": len(df.inputFiles()), "result_bytes": int(str(plan.stats().sizeInBytes())), "tasks": tasks, "shuffles": shuffles, "effort": effort}
 
 
 def spark_plan(df: DataFrame) -> str:
@@ -57,9 +56,10 @@ def spark_plan(df: DataFrame) -> str:
     return out.getvalue()
 
 
-def explain(q: ast.Query, points: DataFrame) -> DataFrame:
+def explain(q: ast.Query, points: DataFrame, keep: str | None = None) -> DataFrame:
     """A row per line: part (step, cost, plan), line."""
+    compiled = compiler.compile(q, points, keep)
     lines = [("step", "  " * i + s) for i, s in enumerate(steps(q))]
-    lines += [("cost", f"{k}: {v}") for k, v in cost(q).items()]
-    lines += [("plan", x) for x in spark_plan(compiler.compile(q, points)).splitlines()]
+    lines += [("cost", f"{k}: {v}") for k, v in cost(compiled).items()]
+    lines += [("plan", x) for x in spark_plan(compiled).splitlines()]
     return points.sparkSession.createDataFrame(lines, "part string, line string")

@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import histogram, labels, scalars
+from .functions import arrays, bloom, histogram, labels, scalars
 from .functions.aggregates import aggregate, floor_rank, nearest_rank
 from .model import from_events, from_lineitem, from_orders, micros, millis, series_id
-from .operators import cardinality, catalogue, counters, dedup, downsample, grouping, maintenance, moving, profile, selectors, topk, windows
+from .operators import cardinality, catalogue, chunks, counters, dedup, downsample, grouping, maintenance, moving, profile, routing, selectors, series_sets, topk, windows
 from .plans import ast, result
 from .plans.builder import QueryBuilder
 from .plans.engine import Engine
@@ -274,8 +274,8 @@ _register("promql_offset", ask("avg(click[2d]) offset 1w"), "SELECT timestamp '2
 _PROM_STEPS = "SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS gap, lag(value) OVER w AS b FROM events WHERE event_type = 'view' AND ts >= timestamp '2024-01-21' AND ts <= timestamp '2024-01-31' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
 _register("promql_rate", ask("rate(view[10d])"), f"SELECT timestamp '2024-01-21' AS bucket, round(sum(CASE WHEN value < b THEN value ELSE value - b END) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6) AS rate FROM ({_PROM_STEPS})")
 _register("promql_increase", ask("increase(view[10d])"), f"SELECT timestamp '2024-01-21' AS bucket, round(sum(CASE WHEN value < b THEN value ELSE value - b END), 6) AS increase FROM ({_PROM_STEPS})")
-_register("promql_irate", ask("irate(view[10d])"), f"SELECT timestamp '2024-01-21' AS bucket, round(arg_max(CASE WHEN value < b THEN value ELSE value - b END / gap, (ts, event_id)), 6) AS irate FROM ({_PROM_STEPS}) WHERE b IS NOT NULL")
-_register("promql_idelta", ask("idelta(view[10d])"), f"SELECT timestamp '2024-01-21' AS bucket, round(arg_max(value - b, (ts, event_id)), 6) AS idelta FROM ({_PROM_STEPS}) WHERE b IS NOT NULL")
+_register("promql_irate", ask("irate(view[10d])"), f"SELECT {KEY} AS series_key, timestamp '2024-01-21' AS bucket, round(arg_max(CASE WHEN value < b THEN value ELSE value - b END / gap, (ts, event_id)), 6) AS irate FROM ({_PROM_STEPS}) GROUP BY 1")
+_register("promql_idelta", ask("idelta(view[10d])"), f"SELECT {KEY} AS series_key, timestamp '2024-01-21' AS bucket, round(arg_max(value - b, (ts, event_id)), 6) AS idelta FROM ({_PROM_STEPS}) GROUP BY 1")
 _register("promql_quantile", ask("quantile(0.9, view[10d])"), "SELECT timestamp '2024-01-21' AS bucket, round(quantile_cont(value, 0.9), 6) AS quantile FROM events WHERE event_type = 'view' AND ts >= timestamp '2024-01-21' AND ts <= timestamp '2024-01-31'")
 _register("promql_count_values", ask("count_values(view[10d])"), "SELECT timestamp '2024-01-21' AS bucket, count(DISTINCT value) AS count_values FROM events WHERE event_type = 'view' AND ts >= timestamp '2024-01-21' AND ts <= timestamp '2024-01-31'")
 
@@ -406,11 +406,19 @@ def chunk_profile(spark, d):
     return rounded(profile.chunk_profile(events(spark, d), "metric").drop("lag3", "lag4"))
 
 
-@query()
+_XORED = "SELECT event_type, user_id, xor(value::DOUBLE::BIT, b::DOUBLE::BIT) AS x FROM (SELECT *, lag(value) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NOT NULL"
+
+
+@query(f"SELECT {KEY} AS series_key, bit_xor(x::BIGINT) AS xor, sum(64 - length(ltrim(x::VARCHAR, '0')))::BIGINT AS leading, sum(64 - length(rtrim(x::VARCHAR, '0')))::BIGINT AS trailing FROM ({_XORED}) GROUP BY 1")
 def xor_deltas(spark, d):
     return profile.xor_deltas(events(spark, d)).groupBy("series_key").agg(F.bit_xor("xor").alias("xor"), F.sum("leading").alias("leading"), F.sum("trailing").alias("trailing"))
 
 
+@query(f"SELECT {KEY} AS series_key, count(*) AS n, count(*) FILTER (WHERE bit_count(x) = 0) AS equal, round(avg(64 - length(ltrim(x::VARCHAR, '0'))), 6) AS leading, round(avg(64 - length(rtrim(x::VARCHAR, '0'))), 6) AS trailing, max(length(trim(x::VARCHAR, '0')))::BIGINT AS most_bits FROM ({_XORED}) GROUP BY 1")
+def xor_stats(spark, d):
+    return rounded(profile.xor_stats(events(spark, d)))
+
+
 _register("validation", lambda spark, d: _validated(spark, d), "SELECT CASE WHEN value > 200 THEN 'field v is above 200.0' END AS error, count(*) AS n FROM events GROUP BY 1")
 
 
@@ -474,9 +482,11 @@ def result_protobuf(spark, d):
     return result.QueryResult(events(spark, d).where("metric = 'error'")).to_protobuf().select("text")
 
 
-@query()
+@query(f"SELECT * FROM (VALUES ('step', 'scan click from {LO_MS} to {HI_MS}'), ('step', '  aggregate avg by time(1h)'), ('cost', 'shuffles')) t(part, line)")
 def explain_query(spark, d):
-    return Engine(events(spark, d), NOW_MS).query(f"EXPLAIN SELECT avg(value) FROM click WHERE {SPAN} GROUP BY time(1h)").where("part <> 'plan'")
+    rows = Engine(events(spark, d), NOW_MS).query(f"EXPLAIN SELECT avg(value) FROM click WHERE {SPAN} GROUP BY time(1h)")
+    named = F.when(F.col("part") == "cost", F.substring_index("line", ":", 1)).otherwise(F.col("line"))
+    return rows.select("part", named.alias("line")).where("part = 'step' or line = 'shuffles'")
 
 
 def _folder(spark: SparkSession) -> str:
@@ -556,18 +566,162 @@ def retention_days(spark, d):
     return maintenance.expired_days(spark, folder, NOW_MS, 20).select("metric", F.col("day").cast("string").alias("day"))
 
 
-@query()
+@query("SELECT m || ',host=host' || h AS series_key, 100::BIGINT AS n FROM (SELECT unnest(['cpu_usage', 'memory_usage', 'disk_io', 'http_requests']) AS m), (SELECT unnest(range(3)) AS h)")
 def generated_metrics(spark, d):
     from .sources import generator
 
     return generator.metrics(spark, 3, 100).groupBy("series_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_RUNS = "SELECT event_type AS metric, ts, sum(cut) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS run FROM (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) >= interval '2 hours', true)::INT AS cut FROM events)"
+
+
+@query(f"SELECT metric, min(ts) AS bucket, max(ts) + interval '2 hours' AS bucket_end, count(*) AS count FROM ({_RUNS}) GROUP BY metric, run HAVING max(ts) + interval '2 hours' <= (SELECT date_trunc('millisecond', max(ts)) - interval '10 minutes' FROM events)")
 def stream_sessions(spark, d):
     return tail.drain(tail.sessions(_stream(spark, d), "2 hours", ("metric",)), _folder(spark))
 
 
+# Repeated points, stored points, chunks
+
+_ORDER_TOTALS = "SELECT {f} AS v FROM orders GROUP BY o_orderpriority, o_orderstatus, o_orderdate"
+
+
+def _kept(keep: str | None) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: rounded(Engine(from_orders(spark.read.parquet(f"{d}/orders.parquet")), NOW_MS, keep).query("SELECT count(value), sum(value), max(value) FROM order_total WHERE time >= 0 AND value > 1000"), 2)
+
+
+for _keep, _f in (("first", "arg_min(o_totalprice, o_orderkey)"), ("last", "arg_max(o_totalprice, o_orderkey)"), (None, "unnest(list(o_totalprice))")):
+    _register(f"engine_keeps_{_keep or 'all'}", _kept(_keep), f"SELECT count(*) AS count, round(sum(v), 2) AS sum, round(max(v), 2) AS max FROM ({_ORDER_TOTALS.format(f=_f)}) WHERE v > 1000")
+
+
+@query(f"SELECT 'points' AS what, count(*) AS n FROM events WHERE event_type <> 'view' OR user_id <> 7 UNION ALL SELECT 'series', count(*) FROM (SELECT DISTINCT event_type, user_id FROM events WHERE event_type <> 'view' OR user_id <> 7) UNION ALL SELECT 'found', count(DISTINCT user_id) FROM events WHERE event_type = 'click' AND user_id::varchar LIKE '1%' UNION ALL SELECT 'problems', 0")
+def engine_life(spark, d):
+    """Write points twice, delete a series, rebuild the catalogue, search it, check the points."""
+    from .sources import files
+
+    folder, points = _folder(spark), events(spark, d)
+    files.write(points, f"{folder}/a")
+    engine = Engine.open(spark, f"{folder}/a", NOW_MS).write(points.where("metric = 'click'"))
+    engine = engine.delete((F.col("metric") == "view") & (F.col("tags")["user"] == "7"), f"{folder}/b")
+    series = engine.rebuild(f"{folder}/series")
+    count = lambda df, what: df.agg(F.lit(what).alias("what"), F.count(F.lit(1)).alias("n"))
+    kept = dedup.dedup(engine.points, "first")
+    return count(kept, "points").unionByName(count(series, "series")).unionByName(count(engine.find("click", pattern="user=1*"), "found")).unionByName(count(engine.integrity(), "problems"))
+
+
+@query("SELECT event_type AS metric, ts::DATE::VARCHAR AS day, count(*) AS rows, count(DISTINCT user_id) AS series, min(ts) AS min_ts, max(ts) AS max_ts FROM events WHERE event_type = 'click' AND ts >= timestamp '2024-01-05 01:23:45' AND ts <= timestamp '2024-01-20 01:23:45' GROUP BY 1, 2")
+def chunk_listing(spark, d):
+    from .sources import files
+
+    folder = _folder(spark)
+    files.write(events(spark, d), folder)
+    return chunks.listing(spark, folder, "click", None, LO_MS, HI_MS).select("metric", F.col("day").cast("string").alias("day"), "rows", "series", "min_ts", "max_ts")
+
+
+_CELLS = "SELECT event_type AS metric, strftime(time_bucket(interval '6 hours', ts), '%Y%m%d%H') AS chunk, count(*) AS rows, min(ts) AS min_ts, max(ts) AS max_ts FROM events GROUP BY 1, 2"
+_CELL_RUNS = f"SELECT *, sum(coalesce(epoch_us(min_ts) - epoch_us(hi) > 14400000000, true)::INT) OVER w AS run FROM (SELECT *, max(max_ts) OVER (PARTITION BY metric ORDER BY min_ts, chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hi FROM ({_CELLS}) WHERE rows < 100) WINDOW w AS (PARTITION BY metric ORDER BY min_ts, chunk)"
+
+
+@query(f"SELECT metric, string_agg(chunk, ',' ORDER BY min_ts, chunk) AS merged, count(*) AS n_chunks, sum(rows)::BIGINT AS rows, min(min_ts) AS min_ts, max(max_ts) AS max_ts FROM (SELECT *, (sum(rows) OVER r - 1) // 100 AS full, (epoch_us(max_ts) - epoch_us(first_value(min_ts) OVER r)) // 172800000000 AS long FROM ({_CELL_RUNS}) WINDOW r AS (PARTITION BY metric, run ORDER BY min_ts, chunk ROWS UNBOUNDED PRECEDING)) GROUP BY metric, run, \"full\", long HAVING count(*) > 1 AND 1 - 1 / count(*) >= 0.5")
+def merge_plan(spark, d):
+    cells = events(spark, d).groupBy("metric", F.date_format(F.window(F.col("ts").cast("timestamp"), "6 hours")["start"], "yyyyMMddHH").alias("chunk")).agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"))
+    found = chunks.merge_plan(cells, 100, 4 * 3_600_000, 2 * 86_400_000, 0.5)
+    return found.withColumn("merged", F.array_join("merged", ","))
+
+
+@query("SELECT event_type AS metric, count(*) AS n, round(sum(value), 6) AS total, count(DISTINCT ts::DATE)::BIGINT AS files FROM events WHERE event_type = 'error' OR ts < timestamp '2024-01-04' GROUP BY 1")
+def merged_chunks(spark, d):
+    """Points written by halves, then merged: each metric's day is one file again and no point is lost."""
+    from .sources import files
+
+    folder, points = _folder(spark), events(spark, d).where("metric = 'error' or ts < timestamp_ntz '2024-01-04 00:00:00'")
+    for k in (0, 1):
+        files.write(points.where(f"seq % 2 = {k}"), folder, mode="append")
+    chunks.merge(spark, folder)
+    rows = files.read(spark, folder).withColumn("file", F.input_file_name())
+    return rounded(rows.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.countDistinct("file").alias("files")))
+
+
+_register("tiers", lambda spark, d: events(spark, d).groupBy("metric", chunks.tier(F.col("ts"), NOW_MS, 5, 20).alias("tier")).agg(F.count(F.lit(1)).alias("n")), "SELECT event_type AS metric, CASE WHEN ts >= timestamp '2024-01-26' THEN 'hot' WHEN ts >= timestamp '2024-01-11' THEN 'warm' ELSE 'cold' END AS tier, count(*) AS n FROM events GROUP BY 1, 2")
+_register("merged_sources", lambda spark, d: rounded(topk.merged([events(spark, d).where(f"seq % 3 = {k}") for k in range(3)], 40, "first").select("series_key", "ts", "value")), f"SELECT {STAR} FROM events ORDER BY ts, event_id LIMIT 40")
+
+# Sets of series, routing, arrays, Bloom filters, codecs
+
+_BOUGHT, _FAILED = "SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 200", "SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value < 5"
+_SETS = {"union": (series_sets.union, "UNION"), "intersection": (series_sets.intersection, "INTERSECT"), "difference": (series_sets.difference, "EXCEPT")}
+for _name, (_f, _s) in _SETS.items():
+    _register(f"series_{_name}", lambda spark, d, f=_f: f(*[events(spark, d).where(f"metric = 'purchase' and {c}").select("series_key") for c in ("value > 200", "value < 5")]), f"SELECT 'purchase,user=' || user_id AS series_key FROM ({_BOUGHT} {_s} {_FAILED})")
+_register("series_cardinality", lambda spark, d: series_sets.cardinality(series_sets.union(*[events(spark, d).where(c) for c in ("metric = 'purchase' and value > 200", "metric = 'purchase' and value < 5")])), f"SELECT count(*) AS n FROM ({_BOUGHT} UNION {_FAILED})")
+_TREE = ast.And((series_sets.has_key("user"), ast.Not(ast.Or((ast.TagMatcher("user", "=~", "1.*"), ast.TagMatcher("user", "in", ("2", "33"))))), series_sets.lacks_key("dc")))
+_register("series_tree", lambda spark, d: series_sets.where(_catalogue(spark, d), _TREE), f"SELECT DISTINCT {KEY} AS series_key FROM events WHERE NOT (user_id::varchar LIKE '1%' OR user_id IN (2, 33))")
+_register("series_active", lambda spark, d: series_sets.active(_catalogue(spark, d), F.lit("2024-01-30").cast("timestamp_ntz")).select("series_key"), f"SELECT {KEY} AS series_key FROM events GROUP BY 1 HAVING max(ts) >= timestamp '2024-01-30'")
+
+
+def _drawn(nodes: str) -> str:
+    return "list_max([" + ", ".join(f"md5({KEY} || '|{n}') || '{n}'" for n in nodes) + "])[33:]"
+
+
+_register("routing_nodes", lambda spark, d: _catalogue(spark, d).groupBy(routing.rendezvous(F.col("series_key"), "abc").alias("node")).agg(F.count(F.lit(1)).alias("n")), f"SELECT {_drawn('abc')} AS node, count(*) AS n FROM (SELECT DISTINCT event_type, user_id FROM events) GROUP BY 1")
+_register("routing_moves", lambda spark, d: routing.moved(_catalogue(spark, d), "series_key", "abc", "abcd"), f"SELECT {_drawn('abc')} AS from_node, {_drawn('abcd')} AS to_node, count(*) AS n FROM (SELECT DISTINCT event_type, user_id FROM events) GROUP BY 1, 2")
+
+
+@query("SELECT count(*) AS users, 1 AS most_shards FROM (SELECT DISTINCT user_id FROM events)")
+def routing_by_tag(spark, d):
+    """All series of a user share a shard."""
+    rows = routing.routed(_catalogue(spark, d), routing.by_tag(F.col("tags"), "user", F.col("series_key"), 16), 4)
+    per = rows.groupBy(F.col("tags")["user"].alias("user")).agg(F.countDistinct("shard").alias("shards"))
+    return per.agg(F.count(F.lit(1)).alias("users"), F.max("shards").cast("int").alias("most_shards"))
+
+
+@query("SELECT user_id::varchar AS \"user\", round(sum(2.5 * value), 4) AS scaled, round(sum(value + value * value), 4) AS added, round(avg(value), 6) AS mean, round(min(value), 6) AS lo, round(max(value), 6) AS hi, count(*) FILTER (WHERE value > 100) AS above, count(*) FILTER (WHERE value < 5) AS below FROM events WHERE event_type = 'error' GROUP BY 1")
+def array_maths(spark, d):
+    a = F.col("a")
+    rows = events(spark, d).where("metric = 'error'").groupBy(F.col("tags")["user"].alias("user")).agg(F.collect_list("value").alias("a"))
+    return rows.select("user", F.round(arrays.total(arrays.scale(a, 2.5)), 4).alias("scaled"), F.round(arrays.total(arrays.add(a, arrays.mul(a, a))), 4).alias("added"), F.round(arrays.mean(a), 6).alias("mean"), F.round(F.array_min(a), 6).alias("lo"), F.round(F.array_max(a), 6).alias("hi"), arrays.count_above(a, 100).alias("above"), arrays.count_below(a, 5).alias("below"))
+
+
+@query("SELECT count(*) AS members, 0 AS missed, true AS rules_out FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'click')")
+def bloom_members(spark, d):
+    """No member is ruled out, and most others are."""
+    series = _catalogue(spark, d)
+    bits, hashes = bloom.sized(100_000)
+    held = series.where("metric = 'click'")
+    both = bloom.merged(*[bloom.build(held.where(f"length(tags['user']) % 2 = {k}"), "series_key", bits, hashes) for k in (0, 1)])
+    seen = bloom.with_membership(series, "series_key", both, bits, hashes)
+    member = F.col("metric") == "click"
+    return seen.agg(F.count_if(member).alias("members"), F.count_if(member & ~F.col("maybe")).cast("int").alias("missed"), (F.count_if(~member & F.col("maybe")) * 10 <= F.count_if(~member)).alias("rules_out"))
+
+
+@query(f"SELECT {KEY} AS series_key, count(*) AS n, count(*) AS same_values, count(*) AS same_times, true AS shorter FROM events GROUP BY 1")
+def coded_chunks(spark, d):
+    """Every codec gives back every bit, and the chosen one takes no more bytes than the raw values."""
+    return profile.coded(events(spark, d)).groupBy("series_key").agg(F.sum("n").alias("n"), F.sum("same_values").alias("same_values"), F.sum("same_times").alias("same_times"), F.bool_and(F.col("bytes") <= 8 * F.col("n")).alias("shorter"))
+
+
+_SCALES = "SELECT event_type AS metric, value, CASE WHEN round(value, 2) = value THEN abs(round(value * 100)::BIGINT) END AS c FROM events"
+
+
+@query(f"SELECT metric, count(*) FILTER (WHERE c IS NULL) AS unscaled, list_reduce(list(c), lambda a, b: gcd(a, b))::BIGINT AS step FROM ({_SCALES}) GROUP BY 1")
+def value_steps(spark, d):
+    return profile.steps(events(spark, d), 2, "metric")
+
+
+@query("SELECT event_id AS seq, value > 100 AS flag, CASE WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE value::VARCHAR END AS text FROM events WHERE event_type = 'error'")
+def field_casts(spark, d):
+    from .sources import parsed
+
+    e = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'error'")
+    none = {k: F.lit(None).cast(t) for k, t in (("f", "double"), ("i", "long"), ("u", "decimal(20,0)"), ("s", "string"), ("b", "boolean"))}
+    field = lambda kind, v: F.struct(F.lit(kind).alias("kind"), *[(v if k == kind else x).alias(k) for k, x in none.items()])
+    whole = F.col("value") == F.floor("value")
+    number = F.when(whole, field("i", F.col("value").cast("long"))).otherwise(field("f", F.col("value")))
+    return e.select(F.col("event_id").alias("seq"), parsed.as_bool(field("b", F.col("value") > 100)).alias("flag"), parsed.as_text(number).alias("text"))
+
+
+_register("stream_query", lambda spark, d: rounded(tail.drain(QueryBuilder("click").range(LO_MS, HI_MS).aggregate("count").aggregate("avg").window("6h").group_by("user").stream(_stream(spark, d)), _folder(spark))), f"SELECT user_id::varchar AS \"user\", {_bucket('6 hours')} AS bucket, count(*) AS count, round(avg(value), 6) AS avg FROM events WHERE event_type = 'click' AND {IN_SPAN} GROUP BY 1, 2 HAVING bucket + interval '6 hours' <= (SELECT date_trunc('millisecond', max(ts)) - interval '10 minutes' FROM events WHERE event_type = 'click' AND {IN_SPAN})")
+_register("stream_select", lambda spark, d: rounded(tail.drain(Engine(events(spark, d), NOW_MS).stream(f"SELECT time, value FROM click WHERE {SPAN} AND value > 100 AND user != '7'", _stream(spark, d)), _folder(spark))), f"SELECT ts, round(value, 6) AS value FROM events WHERE event_type = 'click' AND {IN_SPAN} AND value > 100 AND user_id <> 7")
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: hourly means of clicks over two weeks."""
     return ask(f"SELECT count(value), avg(value), percentile(value, 95) FROM click WHERE {SPAN} GROUP BY time(1h)")(spark, d)

@@ -26,6 +26,17 @@ def as_double(f: Column) -> Column:
     return F.coalesce(f["f"], f["i"].cast("double"), f["u"].cast("double"))
 
 
+def as_bool(f: Column) -> Column:
+    """The truth of a boolean field, of a number (not 0), or of the words true and false; else null."""
+    word = F.lower(f["s"])
+    return F.coalesce(f["b"], as_double(f) != 0, F.when(word == "true", True).when(word == "false", False))
+
+
+def as_text(f: Column) -> Column:
+    """Any field as text."""
+    return F.coalesce(f["s"], f["i"].cast("string"), f["u"].cast("string"), f["f"].cast("string"), f["b"].cast("string"))
+
+
 def explode(parsed: DataFrame, now_ns: Column | int, measurement_key: bool = True) -> DataFrame:
     """Points: a row per numeric field, with the field's name in the tag `__field__`. Rows with an error, and
     text and boolean fields, give none. Rows without a time get now_ns; nanoseconds are rounded down to

@@ -28,6 +28,20 @@ def follow(spark: SparkSession, path: str, schema, files_a_batch: int = 16, patt
     return reader.parquet(path)
 
 
+def socket_lines(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """A stream of the lines (value, seq) that a TCP sender writes: seq is the time of arrival. For trials, as Spark
+    can't ask a socket again after a failure."""
+    rows = spark.readStream.format("socket").option("host", host).option("port", port).option("includeTimestamp", True).load()
+    return rows.select("value", F.unix_micros("timestamp").alias("seq"))
+
+
+def kafka_lines(spark: SparkSession, servers: str, topic: str, offsets_a_batch: int = 1_000_000, starting: str = "latest") -> DataFrame:
+    """A stream of a topic's messages as lines (value, seq: the offset); needs Spark's Kafka package on the class path."""
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+    rows = reader.option("startingOffsets", starting).option("maxOffsetsPerTrigger", offsets_a_batch).load()
+    return rows.select(F.col("value").cast("string").alias("value"), F.col("offset").alias("seq"))
+
+
 def tail(points: DataFrame, metric: str | None = None, where: ast.Condition | None = None) -> DataFrame:
     """The points that fit, as they come."""
     rows = points if metric is None else points.where(F.col("metric") == metric)
@@ -72,18 +86,18 @@ def changes(points: DataFrame, idle_ms: int = 86_400_000, lateness: str = LATENE
             state.remove()
             return
         last, sequence = state.get if state.exists else (None, 0)
-        out = []
-        pdf = pd.concat(list(batches), ignore_index=True)
-        for ts, v in pdf.sort_values(["ts", "seq"], kind="stable")[["ts", "value"]].itertuples(index=False):
-            v = None if pd.isna(v) else float(v)
-            if v != last or sequence == 0:
-                sequence += 1
-                out.append((key[0], ts, v, last, sequence))
-                last = v
-        state.update((last, sequence))
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
+        value, before = pdf["value"].astype(float), pdf["value"].astype(float).shift()
+        before.iloc[0] = float("nan") if last is None else last
+        other = (value != before) & ~(value.isna() & before.isna())
+        other.iloc[0] |= sequence == 0
+        found = pd.DataFrame({"series_key": key[0], "ts": pdf["ts"], "value": value, "before": before})[other]
+        found["sequence"] = range(sequence + 1, sequence + 1 + len(found))
+        final = value.iloc[-1]
+        state.update((None if pd.isna(final) else float(final), sequence + len(found)))
         newest = int(pdf["ts"].max().timestamp() * 1000)
         state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(out, columns=["series_key", "ts", "value", "before", "sequence"])
+        yield found.astype({"value": "Float64", "before": "Float64"})
 
     rows = _timed(points.select("series_key", "ts", "value", "seq"), lateness)
     return rows.groupBy("series_key").applyInPandasWithState(run, CHANGE, "last double, sequence long", "append", GroupStateTimeout.EventTimeTimeout)
