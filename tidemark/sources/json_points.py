@@ -57,4 +57,4 @@ def parse(text: str, default: str | None = None, most: int = MOST_POINTS) -> lis
 
 def rows(payloads: DataFrame, column: str = "value", seq: str | None = None) -> DataFrame:
     """parsed rows; a bad payload gives one row with its error."""
-    return line.rows(payloads, column, seq, parse=parse)
+    return line.scanned(line.numbered(payloads, column, seq), parse)

@@ -6,11 +6,16 @@ import math
 from collections.abc import Iterator
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import parsed
 
+# Lines that need no scanner: printable ASCII without quotes and escapes, plain numbers and truth values.
+_CHAR = r"[\x21\x23-\x2B\x2D-\x3C\x3E-\x5B\x5D-\x7E]"
+_PLAIN = r"(?:-?[0-9]{1,18}i|[0-9]{1,18}u|-?[0-9]{1,15}(?:\.[0-9]{1,15})?|true|false|True|False|TRUE|FALSE|[tTfF])"
+_SIMPLE = rf"\A(?!#){_CHAR}++(?:,{_CHAR}++={_CHAR}++)*+ {_CHAR}++={_PLAIN}(?:,{_CHAR}++={_PLAIN})*+(?: -?[0-9]{{1,18}})?\z"
+
 _TRUE, _FALSE = {"t", "T", "true", "True", "TRUE"}, {"f", "F", "false", "False", "FALSE"}
 
 
@@ -97,9 +102,51 @@ def parse(text: str) -> dict | None:
     return {"measurement": unescape(name, ", \\"), "tags": _pairs(tags, "tag", lambda v: unescape(v, ",= \\")), "fields": _pairs(split(rest[0], ",", quotes=True), "field", value), "ts_ns": ts, "error": None}
 
 
-def rows(lines: DataFrame, column: str = "value", seq: str | None = None, parse=parse) -> DataFrame:
-    """parsed rows of a column of lines; bad lines carry their error and text, blank and comment lines none."""
-    numbered = lines.select(F.col(column).cast("string").alias("raw"), (F.col(seq) if seq else F.monotonically_increasing_id()).cast("long").alias("seq"))
+def _plain_field(text: Column) -> Column:
+    v, last = F.substring_index(text, "=", -1), F.right(text, F.lit(1))
+    short = F.left(v, F.length(v) - 1)
+    kind = F.when(F.left(v, F.lit(1)).isin(*"tTfF"), "b").when(last == "i", "i").when(last == "u", "u").otherwise("f")
+    value = {"f": v.try_cast("double"), "i": short.try_cast("long"), "u": short.try_cast("decimal(20,0)"), "s": F.lit(None).cast("string"), "b": F.lower(F.left(v, F.lit(1))) == "t"}
+    return F.struct(kind.alias("kind"), *[(x if k == "s" else F.when(kind == k, x)).alias(k) for k, x in value.items()])
+
+
+def _names(pairs: Column) -> Column:
+    return F.transform(pairs, lambda x: F.substring_index(x, "=", 1))
+
+
+def _plain(parts: DataFrame) -> DataFrame:
+    """Parsed rows of simple lines, within the JVM."""
+    map_of = lambda pairs, of: F.map_from_arrays(_names(pairs), F.transform(pairs, of))
+    return parts.select(
+        F.get("head", F.lit(0)).alias("measurement"),
+        map_of(F.col("tag_pairs"), lambda x: F.substring_index(x, "=", -1)).alias("tags"),
+        map_of(F.col("field_pairs"), _plain_field).alias("fields"),
+        F.get("parts", F.lit(2)).cast("long").alias("ts_ns"),
+        F.lit(None).cast("string").alias("error"),
+        F.lit(None).cast("string").alias("raw"),
+        "seq",
+    )
+
+
+def numbered(lines: DataFrame, column: str, seq: str | None) -> DataFrame:
+    """(raw, seq) of a column of texts."""
+    return lines.select(F.col(column).cast("string").alias("raw"), (F.col(seq) if seq else F.monotonically_increasing_id()).cast("long").alias("seq"))
+
+
+def rows(lines: DataFrame, column: str = "value", seq: str | None = None) -> DataFrame:
+    """parsed rows of a column of lines; bad lines carry their error and text, blank and comment lines none. Simple
+    lines are split by Spark's own functions; only those with quotes, escapes, other characters, unusual numbers or
+    names given twice go to the scanner."""
+    parts = numbered(lines, column, seq).withColumn("parts", F.split("raw", " "))
+    parts = parts.withColumns({"head": F.split(F.get("parts", F.lit(0)), ","), "field_pairs": F.split(F.get("parts", F.lit(1)), ",")})
+    parts = parts.withColumn("tag_pairs", F.slice("head", 2, F.greatest(F.size("head") - 1, F.lit(0))))
+    once = lambda pairs: F.size(F.array_distinct(_names(F.col(pairs)))) == F.size(pairs)
+    simple = F.coalesce(F.col("raw").rlike(_SIMPLE) & once("tag_pairs") & once("field_pairs"), F.lit(False))
+    return _plain(parts.where(simple)).unionByName(scanned(parts.where(~simple).select("raw", "seq")))
+
+
+def scanned(texts: DataFrame, parse=parse) -> DataFrame:
+    """parsed rows of (raw, seq), each by the parser."""
 
     def run(batches) -> Iterator:
         import pandas as pd
@@ -116,7 +163,7 @@ def rows(lines: DataFrame, column: str = "value", seq: str | None = None, parse=
                 out += [{**x, "raw": raw if x["error"] else None, "seq": n} for x in each if x is not None]
             yield pd.DataFrame(out, columns=columns).astype({"ts_ns": "Int64"})
 
-    return numbered.mapInPandas(run, parsed.SCHEMA)
+    return texts.mapInPandas(run, parsed.SCHEMA)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -33,6 +33,7 @@ def run(q: ast.Query, live: DataFrame, lateness: str = tail.LATENESS) -> DataFra
         step = q.window.slide_ms or size
         origin = (q.start_ms + q.window.offset_ms) % step
         w = F.window("ts", f"{size} milliseconds", f"{step} milliseconds", f"{origin} milliseconds")
-    out = rows.groupBy(*keys, w.alias("w")).agg(*[aggregate(c.function, c.arg).alias(c.name) for c in q.calls])
+    # The metric, of which there is one, is a key because Spark has no sessions without keys in streams.
+    out = rows.groupBy("metric", *keys, w.alias("w")).agg(*[aggregate(c.function, c.arg).alias(c.name) for c in q.calls])
     ends = [F.col("w.end").cast("timestamp_ntz").alias("bucket_end")] if q.window.session else []
     return out.select(*keys, F.col("w.start").cast("timestamp_ntz").alias("bucket"), *ends, *[c.name for c in q.calls])
