@@ -13,8 +13,9 @@ from . import parsed
 
 # Lines that need no scanner: printable ASCII without quotes and escapes, plain numbers and truth values.
 _CHAR = r"[\x21\x23-\x2B\x2D-\x3C\x3E-\x5B\x5D-\x7E]"
-_PLAIN = r"(?:-?[0-9]{1,18}i|[0-9]{1,18}u|-?[0-9]{1,15}(?:\.[0-9]{1,15})?|true|false|True|False|TRUE|FALSE|[tTfF])"
-_SIMPLE = rf"\A(?!#){_CHAR}++(?:,{_CHAR}++={_CHAR}++)*+ {_CHAR}++={_PLAIN}(?:,{_CHAR}++={_PLAIN})*+(?: -?[0-9]{{1,18}})?\z"
+_LONG = r"(?:[1-8][0-9]{18}|[0-9]{1,18})"
+_PLAIN = rf"(?:-?{_LONG}i|{_LONG}u|-?[0-9]{{1,15}}(?:\.[0-9]{{1,15}})?|true|false|True|False|TRUE|FALSE|[tTfF])"
+_SIMPLE = rf"\A(?!#){_CHAR}++(?:,{_CHAR}++={_CHAR}++)*+ {_CHAR}++={_PLAIN}(?:,{_CHAR}++={_PLAIN})*+(?: -?{_LONG})?\z"
 
 _TRUE, _FALSE = {"t", "T", "true", "True", "TRUE"}, {"f", "F", "false", "False", "FALSE"}
 
@@ -161,7 +162,8 @@ def scanned(texts: DataFrame, parse=parse) -> DataFrame:
                 except (ValueError, ArithmeticError) as e:
                     each = [{"measurement": None, "tags": None, "fields": None, "ts_ns": None, "error": str(e)}]
                 out += [{**x, "raw": raw if x["error"] else None, "seq": n} for x in each if x is not None]
-            yield pd.DataFrame(out, columns=columns).astype({"ts_ns": "Int64"})
+            # Times apart, as a column of numbers and nulls would go through doubles and lose nanoseconds.
+            yield pd.DataFrame(out, columns=columns).assign(ts_ns=pd.array([x["ts_ns"] for x in out], dtype="Int64"))
 
     return texts.mapInPandas(run, parsed.SCHEMA)
 
