@@ -187,9 +187,10 @@ def test_near_duplicates(docs, none, small):
     assert near_dedup.classes(none).count() == 0 and near_dedup.deduplicate(none).count() == 0
 
 
-def test_near_duplicate_classes(small):
+def near_classes(rows):
+    """The class of each (id, text), by comparing all pairs."""
     sets = {}
-    for i, t in texts():
+    for i, t in rows:
         w = folded_words(t)
         sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     parent = {i: i for i in sets}
@@ -204,7 +205,11 @@ def test_near_duplicate_classes(small):
         if both and both >= 0.8 * len(sets[a] | sets[b]):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
-    assert {r.doc_id: r.class_id for r in near_dedup.classes(small).collect()} == {i: root(i) for i in sets}
+    return {i: root(i) for i in sets}
+
+
+def test_near_duplicate_classes(small):
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(small).collect()} == near_classes(texts())
 
 
 def test_components(spark):
@@ -465,14 +470,94 @@ def test_oracles(spark, name):
     assert a == b
 
 
-def test_pipeline(spark):
+def contaminated(rows, items):
+    """The ids of (id, text) rows of which one word in 20 or more lies in 13-word passages of the items."""
+    windows = set()
+    for text in items:
+        w = folded_words(text)
+        windows |= {tuple(w[k : k + 13]) for k in range(max(1, len(w) - 12))} if w else set()
+    out = set()
+    for i, text in rows:
+        w, hit = folded_words(text), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit.update(range(k, k + n))
+        if hit and 20 * len(hit) >= len(w):
+            out.add(i)
+    return out
+
+
+def redacted(text):
+    out, at = [], 0
+    for span in personal(text).split(",") if text and personal(text) else []:
+        kind, a, b = span.split(":")
+        if int(a) >= at:
+            out += [text[at : int(a)], f"<{kind.upper()}>"]
+        at = max(at, int(b))
+    return text if text is None else "".join(out) + text[at:]
+
+
+def test_pipeline_by_brute_force(spark):
+    """Each stage's rows against plain Python on that stage's own input."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    columns = docs.columns
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        before = docs.count()
-        docs = stage(spark, docs, DIR)
-        if k < len(corpus_pipeline.STAGES) - 1:
-            assert docs.columns == columns and 0 < docs.count() <= before
-    assert {"doc_id", "sequence_id", "token_ids"} <= set(docs.columns)
+    columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
+    rows = {r.doc_id: r for r in docs.collect()}
+
+    def after(name, docs):
+        out = corpus_pipeline.store.save(stages[name](spark, docs, DIR), "stage")
+        assert out.columns == columns
+        return out, {r.doc_id: r for r in out.collect()}
+
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    drawn = quality.select(docs, labels).toPandas()
+    p, n = labels.toPandas().quality.mean(), labels.count()
+    share = min(1.0, p + 2 * (p * (1 - p) / n) ** 0.5)
+    with_grams = drawn[drawn.n_grams > 0].sort_values("key", ascending=False)
+    top = with_grams[: math.ceil(share * len(with_grams) - 1e-9)]
+    docs, kept = after("quality classifier", docs)
+    assert kept == {i: rows[i] for i in top[~top.marked].doc_id}
+
+    rows = kept
+    docs, kept = after("MinHash near-dedup", docs)
+    of = near_classes([(i, r.text) for i, r in rows.items()])
+    assert kept == {i: r for i, r in rows.items() if of[i] == i} and len(kept) < len(rows)
+
+    rows = kept
+    docs, kept = after("benchmark decontamination", docs)
+    bad = contaminated([(i, r.text) for i, r in rows.items()], [r.text for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()])
+    assert kept == {i: r for i, r in rows.items() if i not in bad} and bad
+
+    rows = kept
+    docs, kept = after("PII", docs)
+    assert {i: (r.text, r.n_chars) for i, r in kept.items()} == {i: (redacted(r.text), len(redacted(r.text))) for i, r in rows.items()}
+    assert any(r.text != kept[i].text for i, r in rows.items())
+
+    library = Tokenizer.from_file(tokenizer_files()[0])
+    packed = stages["packing"](spark, docs, DIR).toPandas().sort_values(["doc_id", "start"])
+    assert {i: np.concatenate(g.token_ids.tolist()).tolist() for i, g in packed.groupby("doc_id")} == {i: [*library.encode(r.text, add_special_tokens=False).ids, 1] for i, r in kept.items()}
+    assert packed.groupby("sequence_id").length.sum().max() <= packing.LENGTH
+
+
+def test_edits_and_similarity():
+    """What 0.8 of five-word shingles means in edited words, and that such copies share a sketch."""
+    r = np.random.default_rng(8)
+    reach, met, near = {}, 0, 0
+    for rate in (0.01, 0.02, 0.04, 0.08):
+        linked = 0
+        for _ in range(60):
+            a = r.integers(0, 1 << 62, 300).astype(np.uint64)
+            b = a.copy()
+            at = r.choice(300, int(300 * rate), replace=False)
+            b[at] = r.integers(0, 1 << 62, len(at))
+            x, y = near_dedup.shingles(a), near_dedup.shingles(b)
+            if near_dedup.similarity(near_dedup.Shingled(x), near_dedup.Shingled(y)):
+                linked += 1
+                met += bool(set(near_dedup.sketch(x).tolist()) & set(near_dedup.sketch(y).tolist()))
+        near += linked
+        reach[rate] = linked / 60
+    print(reach, met, near)
+    assert met >= 0.99 * near and reach[0.01] == 1.0 and reach[0.08] == 0.0
