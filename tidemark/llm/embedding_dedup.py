@@ -25,6 +25,8 @@ COSINE = 0.98
 MISS, CROWD = 1e-4, 8
 #: Classes of a bucket that meet in one task, at most twice, and rows of them that are compared at once.
 BLOCK, STEP = 2048, 128
+#: Classes of a bucket up to which its pairs are compared along with those of others, and pairs compared at once.
+SMALL, PAIRS = 64, 1 << 15
 SEED = 20240131
 LEAST_LONG = -(1 << 63)
 
@@ -55,50 +57,85 @@ def _least_of(key: Column) -> Column:
     return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(LEAST_LONG))
 
 
-def linked(left: np.ndarray, right: np.ndarray, codes_left: np.ndarray, codes_right: np.ndarray, table: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j) of the rows of two blocks with a cosine of COSINE or more that no table before this one holds;
-    within one block (same) each pair once."""
-    norm_left, norm_right = (np.sqrt(np.einsum("ij,ij->i", x, x)) for x in (left, right))
-    for a in range(0, len(left), STEP):
-        cosine = left[a : a + STEP] @ right.T / (norm_left[a : a + STEP, None] * norm_right[None, :])
-        i, j = np.nonzero(cosine >= COSINE)
-        i += a
-        if same:
-            i, j = i[i < j], j[i < j]
-        own = codes_left[i, table] == codes_right[j, table]
-        i, j = i[own], j[own]
-        for t in range(table):
-            new = codes_left[i, t] != codes_right[j, t]
-            i, j = i[new], j[new]
-        if len(i):
-            yield i, j
-
-
-def _met(table: pa.Table, dtype: str) -> pa.Table:
-    """What two blocks of a bucket share: by class the number of linked vectors (a, null, n), and a forest of the
-    links (a, b, null)."""
-    table = table.combine_chunks()
-    lo, hi, t = (table.column(c)[0].as_py() for c in ("lo", "hi", "tab"))
-    keys, own = table.column("key").to_pylist(), np.array(table.column("own").to_pylist())
-    vectors = np.stack([np.frombuffer(x, dtype) for x in table.column("vector").to_pylist()]).astype(float)
-    codes = np.stack([np.frombuffer(x, np.int64) for x in table.column("codes").to_pylist()])
-    copies = np.array(table.column("copies").to_pylist(), float)
-    left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-    total, group, edges = np.zeros(len(keys)), np.arange(len(keys)), []
-    for x, y in linked(vectors[left], vectors[right], codes[left], codes[right], t, lo == hi):
-        i, j = left[x], right[y]
-        total += np.bincount(i, copies[j], len(keys)) + np.bincount(j, copies[i], len(keys))
-        for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1):  # i ascends
-            one, some = i[part[0]], j[part]
-            others, first = np.unique(group[some], return_index=True)
-            apart = others != group[one]
-            if apart.any():
-                edges += [(one, some[k]) for k in first[apart].tolist()]
-                group[np.isin(group, others)] = group[one]
-    n = np.flatnonzero(total)
-    a = [keys[k] for k in n.tolist()] + [keys[x] for x, _ in edges]
-    b = [None] * len(n) + [keys[y] for _, y in edges]
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "n": pa.array([*total[n].astype(np.int64).tolist(), *[None] * len(edges)], pa.int64())})
+class Met:
+    """Rows of whole units, which are pairs of blocks of a bucket, in order of units, with vectors of one length."""
+
+    def __init__(self, rows: list[tuple], dtype: str):
+        units, tabs, los, his, owns, self.keys, copies, vectors, codes = zip(*rows, strict=True)
+        n = len(rows)
+        self.vectors = np.frombuffer(b"".join(vectors), dtype).reshape(n, -1).astype(float)
+        self.codes = np.frombuffer(b"".join(codes), np.int64).reshape(n, -1)
+        self.norm = np.sqrt(np.einsum("ij,ij->i", self.vectors, self.vectors))
+        self.copies, self.tab = np.array(copies, float), np.array(tabs)
+        self.lo, self.hi, self.own = np.array(los), np.array(his), np.array(owns)
+        self.starts = np.array([k for k in range(n) if k == 0 or units[k] != units[k - 1]])
+        self.ends = np.append(self.starts[1:], n)
+
+    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(i, j) of rows that a unit brings together, with a cosine of COSINE or more, i ascending."""
+        size = self.ends - self.starts
+        small = (size <= SMALL) & (self.lo[self.starts] == self.hi[self.starts])
+        later = np.zeros(len(self.keys), np.int64)  # rows of small units: those after them in their unit
+        for a, b in zip(self.starts[small].tolist(), self.ends[small].tolist(), strict=True):
+            later[a:b] = np.arange(b - a - 1, -1, -1)
+        for part in np.split(np.arange(len(later)), np.flatnonzero(np.diff(np.cumsum(later) // PAIRS)) + 1):
+            i = np.repeat(part, later[part])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[part]) - later[part], later[part])
+            near = np.einsum("ij,ij->i", self.vectors[i], self.vectors[j]) / (self.norm[i] * self.norm[j]) >= COSINE
+            yield i[near], j[near]
+        for a, b in zip(self.starts[~small].tolist(), self.ends[~small].tolist(), strict=True):
+            left, right = (a + np.flatnonzero(self.own[a:b] == x) for x in (self.lo[a], self.hi[a]))
+            for some in np.split(left, range(STEP, len(left), STEP)):
+                x, y = np.nonzero(self.vectors[some] @ self.vectors[right].T / (self.norm[some, None] * self.norm[None, right]) >= COSINE)
+                i, j = some[x], right[y]
+                once = (i < j) | (self.lo[a] != self.hi[a])
+                yield i[once], j[once]
+
+    def links(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Those of the candidates that share the signs of their unit's table and of no table before it."""
+        for i, j in self.candidates():
+            own = self.codes[i, self.tab[i]] == self.codes[j, self.tab[i]]
+            i, j = i[own], j[own]
+            for t in range(self.codes.shape[1]):
+                new = (self.codes[i, t] != self.codes[j, t]) | (self.tab[i] <= t)
+                i, j = i[new], j[new]
+            if len(i):
+                yield i, j
+
+    def found(self) -> pa.RecordBatch:
+        """MET: by row the number of linked vectors (a, null, n), and a forest of the links (a, b, null)."""
+        total, group, edges = np.zeros(len(self.keys)), np.arange(len(self.keys)), []
+        for i, j in self.links():
+            total += np.bincount(i, self.copies[j], len(total)) + np.bincount(j, self.copies[i], len(total))
+            for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1):
+                one, some = i[part[0]], j[part]
+                others, first = np.unique(group[some], return_index=True)
+                apart = others != group[one]
+                if apart.any():
+                    edges += [(one, some[k]) for k in first[apart].tolist()]
+                    group[np.isin(group, others)] = group[one]
+        n = np.flatnonzero(total)
+        a = [self.keys[k] for k in n.tolist()] + [self.keys[x] for x, _ in edges]
+        b = [None] * len(n) + [self.keys[y] for _, y in edges]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([*total[n].astype(np.int64).tolist(), *[None] * len(edges)], pa.int64())], names=["a", "b", "n"])
+
+
+def _met(batches: Iterable[pa.RecordBatch], dtype: str) -> Iterator[pa.RecordBatch]:
+    """MET of rows sorted by unit. Small units are compared many at a time; a unit that a batch cuts waits for its rest."""
+    held: list[tuple] = []
+    for batch in batches:
+        cols = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+        units = zip(cols["bucket"], cols["lo"], cols["hi"], strict=True)
+        held += zip(units, *(cols[c] for c in ("tab", "lo", "hi", "own", "key", "copies", "vector", "codes")), strict=True)
+        last = next((k for k in range(len(held) - 1, -1, -1) if held[k][0] != held[-1][0]), -1) + 1
+        yield from _of_lengths(held[:last], dtype)
+        held = held[last:]
+    yield from _of_lengths(held, dtype)
+
+
+def _of_lengths(rows: list[tuple], dtype: str) -> Iterator[pa.RecordBatch]:
+    for size in sorted({len(r[7]) for r in rows}):
+        yield Met([r for r in rows if len(r[7]) == size], dtype).found()
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -139,7 +176,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meets = meets.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
     meets = meets.join(signs.select("key", "copies", "vector", "codes"), "key")
-    met = save(meets.select("bucket", "tab", "lo", "hi", "own", "key", "copies", "vector", "codes").groupBy("bucket", "lo", "hi").applyInArrow(lambda t: _met(t, dtype), MET), "vector-links")
+    units = meets.select("bucket", "tab", "lo", "hi", "own", "key", "copies", "vector", "codes").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    met = save(units.mapInArrow(lambda batches: _met(batches, dtype), MET), "vector-links")
     group = components(met.where("b is not null").select("a", "b")).withColumnRenamed("node", "key")
     degree = met.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("linked"))
     per_class = classes.select("class", "key", "copies").join(group, "key", "left").join(degree, "key", "left")
