@@ -89,8 +89,12 @@ def test_builder():
         QueryBuilder("cpu").window("5m", "10m")
 
 
-def test_cost():
-    assert cost(sql.parse("SELECT * FROM m WHERE time >= 0 AND time <= 60000", NOW))["class"].startswith("fast")
-    assert cost(sql.parse("SELECT avg(value) FROM m WHERE time >= 0", NOW))["class"].startswith("very_slow")
-    assert cost(sql.parse("SELECT LATEST FROM m", NOW))["rows"] == 10
+def test_cost(spark):
+    """From Spark's statistics: a shuffle for a group, none for a projection."""
+    rows = spark.range(1000)
+    assert cost(rows.select("id"))["shuffles"] == 0 and cost(rows.groupBy("id").count())["shuffles"] == 1
+    assert cost(rows)["scanned_bytes"] == 8000 and cost(rows)["effort"] == "one task"
+
+
+def test_steps():
     assert steps(sql.parse("SELECT avg(value) FROM m GROUP BY time(1h)", NOW))[-1] == "aggregate avg by time(1h)"
