@@ -298,7 +298,22 @@ _register("downsample_first", _thin("first", 10), f"SELECT k AS series_key, ts,
 _register("downsample_last", _thin("last", 10), f"SELECT k AS series_key, ts, round(value, 6) AS value FROM ({_NUMBERED}) WHERE n <= 10 OR pos % {_size(10)} = {_size(10)} - 1 OR pos = n - 1")
 _register("downsample_m4", _thin("m4", 8), f"WITH b AS (SELECT *, CASE WHEN n <= 8 THEN pos ELSE pos // {_size(2)} END AS b FROM ({_NUMBERED})), r AS (SELECT *, row_number() OVER (PARTITION BY k, b ORDER BY pos) AS f, row_number() OVER (PARTITION BY k, b ORDER BY pos DESC) AS l, row_number() OVER (PARTITION BY k, b ORDER BY value, pos) AS lo, row_number() OVER (PARTITION BY k, b ORDER BY value DESC, pos) AS hi FROM b) SELECT k AS series_key, ts, round(value, 6) AS value FROM r WHERE n <= 8 OR f = 1 OR l = 1 OR lo = 1 OR hi = 1")
 _register("downsample_minmax", _thin("minmax", 8), f"WITH b AS (SELECT *, CASE WHEN n <= 8 THEN pos ELSE pos // {_size(4)} END AS b FROM ({_NUMBERED})), r AS (SELECT *, row_number() OVER (PARTITION BY k, b ORDER BY value, pos) AS lo, row_number() OVER (PARTITION BY k, b ORDER BY value DESC, pos) AS hi FROM b) SELECT k AS series_key, ts, round(value, 6) AS value FROM r WHERE n <= 8 OR lo = 1 OR hi = 1")
-_register("downsample_lttb", ask("SELECT value FROM click WHERE time >= 0 DOWNSAMPLE 8 USING lttb"))
+# A bucket's pick is the point of the largest triangle with the pick before and the mean of the next bucket, so the SQL is recursive.
+_LTTB = f"""
+WITH RECURSIVE p AS MATERIALIZED (
+  SELECT *, epoch_ms(ts) - min(epoch_ms(ts)) OVER (PARTITION BY k) AS t,
+    CASE WHEN pos = 0 THEN -1 ELSE (SELECT max(i) FROM range(7) e(i) WHERE floor(i * ((n - 2) / 6)) + 1 <= pos) END AS b
+  FROM ({_NUMBERED}) WHERE k LIKE 'click,%'),
+m AS MATERIALIZED (SELECT k, b - 1 AS b, avg(t) AS t, avg(value) AS value FROM p WHERE b >= 1 GROUP BY ALL),
+r AS (
+  SELECT k, b, ts, t, value FROM p WHERE b = -1 AND n > 8
+  UNION ALL
+  SELECT k, b, x.ts, x.t, x.value FROM (
+    SELECT r.k, p.b, arg_max({{'ts': p.ts, 't': p.t, 'value': p.value}}, (abs((r.t - m.t) * (p.value - r.value) - (r.t - p.t) * (m.value - r.value)), -p.pos)) AS x
+    FROM r JOIN p ON p.k = r.k AND p.b = r.b + 1 JOIN m ON m.k = p.k AND m.b = p.b GROUP BY r.k, p.b))
+SELECT k AS series_key, ts, round(value, 6) AS value FROM r
+UNION ALL SELECT k, ts, round(value, 6) FROM p WHERE n <= 8 OR pos = n - 1"""
+_register("downsample_lttb", ask("SELECT value FROM click WHERE time >= 0 DOWNSAMPLE 8 USING lttb"), _LTTB)
 
 # Scalars, labels, histograms
 
