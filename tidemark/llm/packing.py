@@ -26,7 +26,6 @@ END_ID = 1
 SENTENCE_CUT, TRUNCATION, GRID = 4.0, 24.0, 32
 #: Tokens of the stream that are cut at a time, be it within a document; the last, open sequence is carried on.
 BLOCK_TOKENS = 1 << 19
-CACHE = 300_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 # Fixed value: the byte-level pre-tokenizer's pattern.
@@ -35,41 +34,24 @@ SPECIAL = "<|endoftext|>"
 
 
 class Encoder:
-    """The ids that the tokenizers library gives for `byte_bpe_50k.json`. Its pre-tokenizer never joins text
-    over a single space between other characters, so a text is encoded chunk by chunk with a cache; texts with
-    other runs of white space go to the encoder whole, and texts with a special token to the library itself."""
+    """The ids that the tokenizers library gives for `byte_bpe_50k.json`, by an encoder of the same vocabulary's ranks;
+    texts with a special token go to the library itself."""
 
     def __init__(self, json_path: str, ranks_path: str):
-        import re
-
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
         self.plain = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.json_path, self.library = json_path, None
-        self.runs = re.compile(r"\s\s")
-
-        class Cache(dict):
-            def __missing__(cache, chunk: str) -> bytes:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[chunk] = out = np.array(self.plain.encode_ordinary(chunk), np.uint32).tobytes()
-                return out
-
-        self.cache = Cache()
 
     def ids(self, text: str) -> np.ndarray:
-        if SPECIAL in text:
-            if self.library is None:
-                from tokenizers import Tokenizer
-
-                self.library = Tokenizer.from_file(self.json_path)
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        if self.runs.search(text):
+        if SPECIAL not in text:
             return np.array(self.plain.encode_ordinary(text), np.uint32)
-        chunks = text.split(" ")
-        parts = [self.cache[chunks[0]], *map(self.cache.__getitem__, [f" {x}" for x in chunks[1:]])]
-        return np.frombuffer(b"".join(parts), np.uint32)
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.json_path)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def sentence_ends(self) -> np.ndarray:
         """By id: whether the token ends a sentence or a line."""
@@ -87,16 +69,22 @@ def cuts(ends: np.ndarray, docs: np.ndarray, length: int = LENGTH) -> list[int]:
     total = int(docs[-1])
     kind = np.full(total + 1, -1.0)
     edges = np.unique(np.concatenate([[0], ends, docs]))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        kind[a + GRID : b : GRID] = TRUNCATION
+    inside = (np.diff(edges) - 1) // GRID
+    nth = np.arange(int(inside.sum())) - np.repeat(np.cumsum(inside) - inside, inside)
+    kind[np.repeat(edges[:-1], inside) + (nth + 1) * GRID] = TRUNCATION
     kind[ends] = SENTENCE_CUT
     kind[docs] = 0.0
     kind[0] = 0.0
     at = np.flatnonzero(kind >= 0)
     price = kind[at].tolist()
+    place = np.full(total + 1, -1)
+    place[at] = np.arange(len(at))
+    # For each cut, the cuts that lie a power of two before it.
+    exact = [np.where(at >= 1 << k, place[np.maximum(at - (1 << k), 0)], -1) for k in range(5, length.bit_length()) if 1 << k < length]
+    to, power = np.nonzero(np.array(exact, np.int64).reshape(-1, len(at)).T >= 0)
+    first = np.searchsorted(to, np.arange(len(at) + 1)).tolist()
+    before = np.array(exact, np.int64).reshape(-1, len(at))[power, to].tolist()
     at = at.tolist()
-    place = {p: i for i, p in enumerate(at)}
-    powers = [1 << k for k in range(5, length.bit_length()) if 1 << k < length]
     best, back = [0.0], [0]
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
     for j in range(1, len(at)):
@@ -105,9 +93,8 @@ def cuts(ends: np.ndarray, docs: np.ndarray, length: int = LENGTH) -> list[int]:
             queue.popleft()
         low, i = queue[0]
         cost = low + length - p
-        for s in powers:
-            k = place.get(p - s)
-            if k is not None and best[k] < cost:
+        for k in before[first[j] : first[j + 1]]:
+            if best[k] < cost:
                 cost, i = best[k], k
         cost += price[j]
         best.append(cost)
