@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -262,3 +263,12 @@ def test_license_scan_finds_planted():
         assert [(m[0], m[1]) for m in got if m[0] == k] == [(k, at)]
         assert all(m[4] >= licenses.CONTAINMENT * m[3] for m in got)
     assert zlib.crc32(b"") == 0
+
+
+@pytest.mark.parametrize("length", [1, 2, 16, 31, 33])
+def test_cuts_of_short_sequences(length):
+    rng = np.random.default_rng(length)
+    for _ in range(20):
+        docs = np.cumsum(rng.integers(1, 200, rng.integers(1, 9)))
+        at = packing.cuts(np.unique(rng.integers(1, docs[-1] + 1, 9)), docs, length)
+        assert at[-1] == docs[-1] and 0 < np.diff([0, *at]).min() and np.diff([0, *at]).max() <= length

@@ -69,9 +69,10 @@ def cuts(ends: np.ndarray, docs: np.ndarray, length: int = LENGTH) -> list[int]:
     total = int(docs[-1])
     kind = np.full(total + 1, -1.0)
     edges = np.unique(np.concatenate([[0], ends, docs]))
-    inside = (np.diff(edges) - 1) // GRID
+    grid = min(GRID, length)
+    inside = (np.diff(edges) - 1) // grid
     nth = np.arange(int(inside.sum())) - np.repeat(np.cumsum(inside) - inside, inside)
-    kind[np.repeat(edges[:-1], inside) + (nth + 1) * GRID] = TRUNCATION
+    kind[np.repeat(edges[:-1], inside) + (nth + 1) * grid] = TRUNCATION
     kind[ends] = SENTENCE_CUT
     kind[docs] = 0.0
     kind[0] = 0.0
