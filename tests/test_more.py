@@ -35,6 +35,49 @@ def test_times_round_trip(us):
     assert codecs.times_decode(codecs.times_encode(np.array(us, np.int64))).tolist() == us
 
 
+_chunk = st.lists(st.one_of(st.floats(allow_nan=True), st.integers(0, 10**6).map(lambda x: x / 100), st.just(42.0)), max_size=90)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(_chunk, max_size=12))
+def test_chunks_together_are_coded_as_each_alone(chunks):
+    v, starts = np.array([x for c in chunks for x in c], "<f8"), np.cumsum([0, *map(len, chunks)])
+    for name, (encode, decode) in codecs.CHUNKED.items():
+        data, ends = encode(v, starts)
+        assert [data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])] == [codecs.CODECS[name][0](np.array(c, "<f8")) for c in chunks]
+        assert decode(data, ends).tobytes() == v.tobytes()
+    us = np.nan_to_num(v, nan=1.0).clip(-1e15, 1e15).astype(np.int64) * 1000
+    data, ends = codecs.times_chunks(us, starts)
+    assert codecs.times_unchunked(data, ends).tolist() == us.tolist()
+    assert [data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])] == [codecs.times_encode(us[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+
+
+def test_codec_bytes_stay():
+    v = np.array([1.25, 1.25, 1.5, -3.75, 0.1, float("nan")])
+    assert [codecs.CODECS[k][0](v).hex() for k in ("alp", "chimp")] == [
+        "06000000020a89feffffffffffff0100000005000000000000000000f87f2f8beb0400818000",
+        "06000000013ff4000000000000140e83bffde3fede66666666666a404199999999999a",
+    ]
+    assert codecs.times_encode(np.array([1_000, 2_000, 3_500, 3_400])).hex() == "d00f00e807ff18"
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_coded_chunks_across_batches(spark, frame, batch):
+    """A call for each chunk took 58 s for 100,000 points; chunks of a batch go together, wherever it is cut."""
+    day = 86_400_000
+    rows = [("a", d * day + k, float(k)) for d in range(4) for k in range(d * 5 + 1)] + [("b", day, 1.5), ("b", day + 1, None), ("c", 5, None)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, batch)
+    try:
+        df = profile.coded(frame(rows))
+        assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
+        found = sorted((r.series_key, r.day, r.n, r.same_values, r.same_times) for r in df.collect())
+    finally:
+        spark.conf.set(name, before)
+    assert found == sorted([("a", d, d * 5 + 1, d * 5 + 1, d * 5 + 1) for d in range(4)] + [("b", 1, 2, 2, 2), ("c", 0, 1, 1, 1)])
+
+
 def test_codecs_shrink_what_they_are_for():
     r = np.random.default_rng(1)
     prices, ramp = np.round(r.uniform(10, 500, 1000), 2), np.arange(1000.0)

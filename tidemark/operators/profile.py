@@ -115,25 +115,64 @@ def steps(points: DataFrame, digits: int, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count_if(F.col("c").isNull()).alias("unscaled")).join(found, list(by), "left")
 
 
+def _whole_chunks(batches):
+    """Sorted batches (key, day, ...) as tables that end where a chunk ends."""
+    import pyarrow as pa
+
+    def starts(t) -> np.ndarray:
+        key = t.column(0).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        day = t.column(1).fill_null(-(1 << 62)).to_numpy()
+        return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (day[1:] != day[:-1])]))
+
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = pa.Table.from_batches([batch])
+        if held and len(starts(pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), new.slice(0, 1)]))) == 2:
+            whole, held = pa.concat_tables(held), []
+            yield whole, starts(whole)
+        last = int(starts(new)[-1])
+        if last:
+            whole = pa.concat_tables([*held, new.slice(0, last)])
+            yield whole, starts(whole)
+            held = []
+        held.append(new.slice(last))
+    if held:
+        whole = pa.concat_tables(held)
+        yield whole, starts(whole)
+
+
 def coded(points: DataFrame, key: str = KEY) -> DataFrame:
     """By key and day, the chunk of a series: n, codec (of the fewest bytes), bytes, same_values and same_times: how many
-    come back from every codec bit by bit. A chunk is in a task's memory, so a day of a series bounds it."""
+    come back from every codec bit by bit. A missing value is NaN there, which no point has; points without a time have no
+    day. A chunk is in a task's memory, so a day of a series bounds it; the chunks of a batch are coded together."""
     from ..functions import codecs
 
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["us", "seq"])
-        values, us = pdf["value"].to_numpy(float), pdf["us"].to_numpy(np.int64)
-        same = np.ones(len(values), bool)
-        for encode, decode in codecs.CODECS.values():
-            same &= _bits(decode(encode(values))) == _bits(values)
-        name, data = codecs.best(values)
-        times = codecs.times_decode(codecs.times_encode(us)) == us
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "day": [pdf["day"].iloc[0]], "n": [len(values)], "codec": [name], "bytes": [len(data)], "same_values": [int(same.sum())], "same_times": [int(times.sum())]})
-
-    rows = points.where("value is not null").select(key, F.floor(micros() / 86_400_000_000).alias("day"), micros().alias("us"), "seq", "value")
-    return rows.groupBy(key, "day").applyInPandas(run, f"{key} string, day long, n long, codec string, bytes long, same_values long, same_times long")
+    names = sorted(codecs.CHUNKED)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for t, first in _whole_chunks(batches):
+            starts = np.append(first, t.num_rows)
+            us, values = t.column("us").fill_null(0).to_numpy(), t.column("value").to_numpy().astype("<f8")
+            same, sizes = np.ones(len(values), bool), []
+            for name in names:
+                encode, decode = codecs.CHUNKED[name]
+                data, ends = encode(values, starts)
+                same &= _bits(decode(data, ends)) == _bits(values)
+                sizes.append(np.diff(ends))
+            times = codecs.times_unchunked(*codecs.times_chunks(us, starts)) == us
+            # The first by name of the shortest.
+            codec = np.argmin(sizes, axis=0)
+            cols = [np.diff(starts), pa.array(names).take(pa.array(codec)), np.min(sizes, axis=0), *[np.add.reduceat(x.astype(np.int64), first) for x in (same, times)]]
+            head = t.select([0, 1]).take(pa.array(first)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*[head.column(i).combine_chunks() for i in (0, 1)], *[pa.array(c) for c in cols]], names=[key, "day", "n", "codec", "bytes", "same_values", "same_times"])
+
+    rows = points.select(key, F.floor(micros() / 86_400_000_000).alias("day"), micros().alias("us"), "seq", "value")
+    rows = rows.repartition(key, "day").sortWithinPartitions(key, "day", "us", "seq").drop("seq")
+    return rows.mapInArrow(run, f"{key} string, day long, n long, codec string, bytes long, same_values long, same_times long")
 
 
 def xor_encode(values: np.ndarray) -> np.ndarray:
