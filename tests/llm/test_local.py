@@ -110,6 +110,26 @@ def test_recompression():
         assert _recompressed(docs, r.randint(1, 3)) == repeats(docs)
 
 
+@pytest.mark.parametrize("n", [0, 1, 8, 1000])
+def test_last_pass_gets_what_was_found(n):
+    """Removal needs a segment's words and what its windows' pass found, but no symbols."""
+    r = np.random.default_rng(n)
+    settled, at = (np.flatnonzero(r.random(n) < 0.3) for _ in range(2))
+    rows = [substring_dedup._found_row(k, settled if k else at, at, n, 7) for k in range(3)]
+    back: list[dict] = []
+    for b in {x[0] for x in rows}:
+        back += substring_dedup._answered(pa.Table.from_batches([substring_dedup._sent_batch([x for x in rows if x[0] == b])])).to_pylist()
+    for k in range(3):
+        found = substring_dedup._found([x for x in back if x["segment"] == k], n)
+        assert [x.tolist() for x in found] == [(settled if k else at).tolist(), at.tolist()]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.one_of(st.sampled_from(" \n\t\x0b\x0c\r\x1c\x85a"), st.characters(exclude_categories=["Cs"])))), max_size=6))
+def test_count_words(texts):
+    assert words.count_words(texts) == sum(len(words.plain_words(t)) for t in texts)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'.a1é<|>"), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_encoder(text):

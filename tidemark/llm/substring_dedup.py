@@ -9,7 +9,8 @@ Spark exchanges symbols, by hash, between segments of the corpus:
 1. High symbols (of 13 words and more, up to whole documents) that a document with a smaller id holds settle
    all windows within them: copies and long repeats.
 2. Low symbols (of the second round) that no other document holds rule out every window that determines them.
-3. Windows that are left are compared by their digests.
+3. Windows that are left are compared by their digests. The last pass over the texts gets two bits a word of what the
+   one before found, so that it needs no symbols again.
 A segment sends a symbol once, so a passage in a third of all documents costs a row a segment.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import bounded_batches, few_records, partitions, save
-from .words import HashedWords, blocks, mix, plain_words
+from .words import HashedWords, blocks, count_words, mix, plain_words
 
 WINDOW = 13
 SEGMENT_CHARS = 3 << 20
@@ -33,7 +34,7 @@ SEGMENT_CHARS = 3 << 20
 BUCKET_KEYS = 500_000
 LOW, HIGH, MOST_ROUNDS = 2, (12, 16, 20, 26), 64
 FAR = 1 << 40
-HIGH_KIND, LOW_KIND, WINDOW_KIND = 0, 1, 2
+HIGH_KIND, LOW_KIND, WINDOW_KIND, FOUND_KIND = 0, 1, 2, 3
 
 SEGMENTS = "segment long, n_words long, doc_ids array<long>, texts array<string>"
 SENT = "bucket int, segment long, kind int, keys binary, docs binary"
@@ -46,7 +47,7 @@ def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     part = TaskContext.get().partitionId()
     for n, rows in enumerate(blocks(batches, SEGMENT_CHARS)):
-        words = sum(len(plain_words(r[1])) for r in rows)
+        words = count_words([r[1] for r in rows])
         yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + n]), pa.array([words]), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([[r[1] for r in rows]], pa.list_(pa.string()))], names=["segment", "n_words", "doc_ids", "texts"])
 
 
@@ -77,14 +78,15 @@ class Symbols:
         before, after = self._neighbours()
         self.left, self.right = np.minimum(before[first], self.left[first]), np.maximum(after[last], self.right[last])
         self.start, self.end, self.doc = self.start[first], self.end[last], self.doc[first]
+        long = np.flatnonzero(size > 1)
         for key, odd in (("name", 3), ("check", 5)):
             own = getattr(self, key)[first]
-            setattr(self, key, np.where(size > 1, mix(own * np.uint64(odd) + mix(size + np.uint64(seed))), own))
+            own[long] = mix(own[long] * np.uint64(odd) + mix(size[long] + np.uint64(seed)))
+            setattr(self, key, own)
 
     def pairs(self, seed: int) -> None:
         right_side = (mix(self.name + np.uint64(seed)) & np.uint64(1)).astype(bool)
-        n = len(right_side)
-        joins = np.zeros(n, bool)
+        joins = np.zeros(len(right_side), bool)
         joins[:-1] = ~right_side[:-1] & right_side[1:] & (self.doc[1:] == self.doc[:-1])
         joined = np.concatenate([[False], joins[:-1]])
         before, after = self._neighbours()
@@ -92,23 +94,44 @@ class Symbols:
         left = np.where(alone & right_side, np.minimum(self.left, before), self.left)
         right = np.where(alone & ~right_side, np.maximum(self.right, after), self.right)
         i = np.flatnonzero(~joined)
-        two = joins[i]
-        j = np.where(two, i + 1, i) if n else i
-        self.left, self.right = np.minimum(left[i], left[j]), np.maximum(right[i], right[j])
-        self.start, self.end, self.doc = self.start[i], self.end[j], self.doc[i]
+        two = np.flatnonzero(joins[i])
+        j = i[two] + 1
+        end = self.end[i]
+        end[two] = self.end[j]
+        lower, upper = left[i], right[i]
+        lower[two], upper[two] = np.minimum(lower[two], left[j]), np.maximum(upper[two], right[j])
+        self.left, self.right = lower, upper
+        self.start, self.end, self.doc = self.start[i], end, self.doc[i]
         for key, odd in (("name", 7), ("check", 9)):
             own = getattr(self, key)
-            setattr(self, key, np.where(two, mix(mix(own[i] * np.uint64(odd) + np.uint64(seed)) + own[j]), own[i]))
+            new = own[i]
+            new[two] = mix(mix(new[two] * np.uint64(odd) + np.uint64(seed)) + own[j])
+            setattr(self, key, new)
 
 
-class Parsed:
-    """A segment's words, its high and low symbols, and its windows."""
+class Split:
+    """A segment's words."""
 
     def __init__(self, doc_ids: list, texts: list):
         self.words = [plain_words(t) for t in texts]
-        self.block = block = HashedWords(self.words)
+        self.block = HashedWords(self.words)
         self.doc_ids = np.array([-1 if x is None else x for x in doc_ids], np.int64)
         self.known = np.array([x is not None for x in doc_ids], bool)
+
+    def covered(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Which positions lie in any of the ranges [lo, hi)."""
+        n = len(self.block.owner)
+        ok = hi > lo
+        edge = np.bincount(np.clip(lo[ok], 0, n), minlength=n + 1) - np.bincount(np.clip(hi[ok], 0, n), minlength=n + 1)
+        return np.cumsum(edge[:-1]) > 0
+
+
+class Parsed(Split):
+    """A segment's words, its high and low symbols, and its windows."""
+
+    def __init__(self, doc_ids: list, texts: list):
+        super().__init__(doc_ids, texts)
+        block = self.block
         level = Symbols(block)
         high, self.low = [], None
         for r in range(1, MOST_ROUNDS + 1):
@@ -132,15 +155,6 @@ class Parsed:
         at = np.arange(len(block.owner))
         self.opens = (block.starts[block.owner + 1] - at >= WINDOW) & self.known[block.owner] if len(at) else np.zeros(0, bool)
 
-    def covered(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Which positions lie in any of the ranges [lo, hi)."""
-        n = len(self.block.owner)
-        edge = np.zeros(n + 1, np.int64)
-        ok = hi > lo
-        np.add.at(edge, np.clip(lo[ok], 0, n), 1)
-        np.add.at(edge, np.clip(hi[ok], 0, n), -1)
-        return np.cumsum(edge[:-1]) > 0
-
 
 class Sending:
     """The distinct keys of some occurrences in the order that they are sent: by name. For each,
@@ -213,18 +227,36 @@ def _windows(h: np.ndarray) -> np.ndarray:
     return both(both(eight[:n], four[8 : 8 + n]), h[12 : 12 + n])
 
 
-def _window_sending(p: Parsed, at: np.ndarray, buckets: int) -> Sending:
+def _window_sending(p: Split, at: np.ndarray, buckets: int) -> Sending:
     name, check = (_windows(h)[at] if len(at) else np.zeros(0, np.uint64) for h in (p.block.name, p.block.check))
     return Sending(name, check, p.doc_ids[p.block.owner[at]], buckets)
 
 
+def _found_row(segment: int, settled: np.ndarray, at: np.ndarray, n: int, buckets: int) -> tuple:
+    """Which of a segment's n positions are settled and which open, for its next pass: a bit each."""
+    bits = np.zeros((2, n), bool)
+    bits[0, settled] = bits[1, at] = True
+    bucket = int(mix(np.array([segment], np.uint64))[0] % np.uint64(buckets))
+    return bucket, segment, FOUND_KIND, np.packbits(bits, axis=1).tobytes(), b""
+
+
+def _found(answers: list[dict], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(settled, open) of _found_row()."""
+    (bits,) = (r["bits"] for r in answers if r["kind"] == FOUND_KIND)
+    both = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(2, -1), axis=1, count=n)
+    return np.flatnonzero(both[0]), np.flatnonzero(both[1])
+
+
 def _answered(table: pa.Table) -> pa.Table:
     """For each row of a bucket, a bit for each key: high symbols and windows that a smaller document of any
-    segment holds; low symbols that several documents hold."""
+    segment holds; low symbols that several documents hold. What a segment found goes back to it."""
     out: list[tuple] = []
     rows = table.to_pylist()
     for kind in {r["kind"] for r in rows}:
         some = [r for r in rows if r["kind"] == kind]
+        if kind == FOUND_KIND:
+            out += [(r["segment"], kind, r["bucket"], r["keys"]) for r in some]
+            continue
         if kind == LOW_KIND:
             raw = [np.frombuffer(r["keys"], np.uint8).reshape(-1, 6) for r in some]
             sizes = [len(x) for x in raw]
@@ -301,15 +333,16 @@ def _repeats_removed(segments: DataFrame) -> DataFrame:
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _each(batches):
             p = Parsed(r["doc_ids"], r["texts"])
-            _, at = _open_windows(p, buckets, r["answers"] or [])
-            yield _sent_batch(list(_window_sending(p, at, buckets).rows(r["segment"], WINDOW_KIND)))
+            settled, at = _open_windows(p, buckets, r["answers"] or [])
+            found = _found_row(r["segment"], settled, at, len(p.block.owner), buckets)
+            yield _sent_batch([found, *_window_sending(p, at, buckets).rows(r["segment"], WINDOW_KIND)])
 
     def removed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _each(batches):
-            p = Parsed(r["doc_ids"], r["texts"])
-            settled, at = _open_windows(p, buckets, r["answers"] or [])
+            p = Split(r["doc_ids"], r["texts"])
+            settled, at = _found(r["answers"], len(p.block.owner))
             sent = _window_sending(p, at, buckets)
-            again = sent.answers(r["answers"] or [], WINDOW_KIND)[sent.of] | (p.doc_ids[p.block.owner[at]] > sent.least[sent.of])
+            again = sent.answers(r["answers"], WINDOW_KIND)[sent.of] | (p.doc_ids[p.block.owner[at]] > sent.least[sent.of])
             start = np.concatenate([settled, at[again]])
             gone = p.covered(start, start + WINDOW)
             out = []
@@ -326,4 +359,4 @@ def _repeats_removed(segments: DataFrame) -> DataFrame:
 
     first = save(segments.select("segment", "doc_ids", "texts").mapInArrow(symbols, SENT).groupBy("bucket").applyInArrow(_answered, ANSWERS), "symbol-answers")
     second = save(with_answers(first).mapInArrow(windows, SENT).groupBy("bucket").applyInArrow(_answered, ANSWERS), "window-answers")
-    return save(with_answers(first.unionByName(second)).mapInArrow(removed, RESULT), "repeats-removed")
+    return save(with_answers(second).mapInArrow(removed, RESULT), "repeats-removed")

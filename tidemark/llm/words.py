@@ -23,6 +23,13 @@ def plain_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def count_words(texts: list[str | None]) -> int:
+    """How many plain_words() they have."""
+    data = np.frombuffer(" ".join(["", *[t for t in texts if t]]).encode("utf-8", "surrogatepass"), np.uint8)
+    gap = (data == 32) | (data - np.uint8(9) < 5)
+    return int(np.count_nonzero(gap[:-1] & ~gap[1:]))
+
+
 def blocks(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[list[tuple]]:
     """Rows as tuples, the text last, in blocks of about `limit` characters (a longer text stands alone)."""
     rows: list[tuple] = []
